@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import trimmed_lower
-from corpusloom.llm import cooccurrence, frequencies, near_duplicates
+from corpusloom.llm import cooccurrence, frequencies, mixing, near_duplicates, packing, splitting
+from corpusloom.llm.tokens import token_counts
 from corpusloom.operators.dedup import once_per_id
 from corpusloom.operators.postings import fragment_postings
 from corpusloom.plans.tables import table
@@ -60,7 +61,39 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_counts(spark, d).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_counts)}
+def _limits(spark: SparkSession, d: str, purpose: str) -> DataFrame:
+    return table(spark, d, "size_limits").where(F.col("purpose") == purpose)
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or part of one above the limit, with its container under each container limit."""
+    return packing.pack(token_counts(table(spark, d, "documents"), "text", ["doc_id"]), "doc_id", "n_tokens", _limits(spark, d, "container"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and room used under each container limit."""
+    return packing.fill_report(p7_containers(spark, d), _limits(spark, d, "container"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of each document in each plan."""
+    targets = table(spark, d, "mix_targets")
+    docs = table(spark, d, "documents").join(targets.select("source").distinct(), "source", "left_semi")
+    return mixing.mix(token_counts(docs, "text", ["doc_id", "source"]), "doc_id", targets)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of each plan."""
+    return mixing.share_report(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of all documents above each piece limit."""
+    limits = [tuple(r) for r in _limits(spark, d, "piece").select("limit_name", "max_tokens", "overlap_tokens").distinct().orderBy("limit_name").collect()]  # settings
+    return splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", limits)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_counts, p7_containers, p7_fill, p8_mix, p8_shares, p9_pieces)}
 
 _W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _ALL_TEXT = _W.format("coalesce(title, '') || ' ' || coalesce(abstract, '')")
