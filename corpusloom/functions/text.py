@@ -37,3 +37,51 @@ def grams(tokens: Column | str, n: int) -> Column:
         F.size(t) >= n,
         F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")),
     ).otherwise(F.array().cast("array<string>"))
+
+
+def words_and_operators(text: Column | str) -> Column:
+    """Words and the operators & | ( ), in order."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(rf"({WORD}|[&|()])"), F.lit(1))
+
+
+def sanitized(term: Column | str, keep_operators: bool = True) -> Column:
+    """A term as the index knows it: words joined by one space, none beside an operator; without operators only words."""
+    if not keep_operators:
+        return normal_form(term)
+    return F.regexp_replace(F.array_join(words_and_operators(term), " "), r" ?([&|()]) ?", "$1")
+
+
+def subterms(term: Column | str) -> Column:
+    """The parts of a term between operators, in order, empty ones left out."""
+    return F.filter(F.transform(F.split(sanitized(term), "[&|()]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def gram_order(gram: Column | str) -> Column:
+    return F.size(F.split(col(gram), " "))
+
+
+def shard_of(gram: Column | str, shards: int = 950) -> Column:
+    """The shard's name of an n-gram; physical placement is left to hash partitioning."""
+    return F.format_string("shard_%04d", (F.crc32(F.encode(col(gram), "UTF-8")) % shards + 1).cast("int"))
+
+
+def document_bucket(pmid: Column | str, span: int = 1_000_000) -> Column:
+    return F.format_string("documents_%02dm", F.floor(col(pmid) / span).cast("long"))
+
+
+def short_description(text: Column | str, limit: int = 80) -> Column:
+    c = col(text)
+    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit - 3), F.lit("..."))).otherwise(c)
+
+
+def iteration_of(path: Column | str) -> Column:
+    """The innermost iteration_N folder of a path as a number; NULL without one, an error if N is no number."""
+    return F.try_element_at(F.regexp_extract_all(col(path), F.lit(r"/iteration_([^/]*)(?=/)"), F.lit(1)), F.lit(-1)).cast("int")
+
+
+def user_error(trace: Column | str) -> Column:
+    """The part of an error text that is meant for users; a general sentence unless there is exactly one such part."""
+    c = col(trace)
+    once = F.size(F.split(c, "-BEGIN USER-FACING ERROR-")) == 2
+    part = F.trim(F.regexp_extract(c, r"(?s)-BEGIN USER-FACING ERROR-(.*?)(?:-END USER-FACING ERROR-|$)", 1))
+    return F.when(c.isNotNull(), F.when(once, part).otherwise(F.lit("An error occurred during execution of this job.")))

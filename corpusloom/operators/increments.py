@@ -96,6 +96,14 @@ class VersionedTable:
         df.write.parquet(folder)
         return self.add_files(data_files(self.spark.read.schema(df.schema).parquet(folder)), processed)
 
+    def overwrite(self, df: DataFrame, processed: int | None = None) -> Manifest:
+        """A version with the records of df only; df may read this table's earlier versions."""
+        now = self.latest()
+        folder = f"{self.root}/data-{scratch(self.spark, 'd').rsplit('-', 1)[1]}"
+        df.write.parquet(folder)
+        files = data_files(self.spark.read.schema(df.schema).parquet(folder))
+        return self.commit(Manifest(now.version + 1, dict.fromkeys(files), now.processed if processed is None else processed))
+
     def delete_rows(self, positions: DataFrame) -> Manifest:
         """A version without the rows at (file_path, row_index), in addition to those gone before."""
         now = self.latest()
