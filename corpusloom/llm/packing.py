@@ -24,6 +24,8 @@ BLOCK_ITEMS = 2000
 COMPLETIONS = 8
 ENUMERATED = 60
 NODES_PER_ITEM = 2
+#: Limits of one call; more are an error.
+MAX_LIMITS = 1000
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
@@ -169,8 +171,11 @@ def pack(items: DataFrame, key: str, size: str, limits: DataFrame, block_items:
     """
     spark = items.sparkSession
     whole = materialize(items.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("total")), "items")
-    caps = limits.where("max_tokens >= 1").select("limit_name", F.col("max_tokens").cast("long").alias("capacity")).distinct()
-    each = whole.join(F.broadcast(caps), F.lit(True))  # every item under every limit; limits are the rows of a settings table
+    caps = limits.where("max_tokens >= 1").select("limit_name", F.col("max_tokens").cast("long")).distinct().limit(MAX_LIMITS + 1).collect()
+    if len(caps) > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} limits")
+    settings = F.array(*[F.struct(F.lit(n).alias("limit_name"), F.lit(c).cast("long").alias("capacity")) for n, c in caps]) if caps else F.array().cast("array<struct<limit_name:string,capacity:bigint>>")
+    each = whole.select("*", F.explode(settings).alias("x")).select("uid", "key", "total", "x.limit_name", "x.capacity")
     full = each.where("total > 0").select("limit_name", "capacity", "uid", F.explode(F.sequence(F.lit(0), F.expr("(total - 1) div capacity"))).alias("part_no"), "total")
     sized = full.withColumn("size", F.least(F.col("capacity"), F.col("total") - F.col("part_no") * F.col("capacity")))
     done = [sized.where("size = capacity").select("limit_name", "capacity", "uid", "part_no", "size", F.concat(F.lit("d"), F.col("uid"), F.lit("p"), F.col("part_no")).alias("container_id"))]
