@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import association, corpus, hypotheses, index, knowledge
+from corpusloom.operators.corpus import MAX_YEAR, MIN_YEAR
 from corpusloom.operators.increments import VersionedTable
 from corpusloom.operators.jobs import JobQueue, priority_of
 from corpusloom.session import file_system
@@ -75,13 +76,13 @@ class Engine:
     def corpus(self) -> association.Corpus:
         return association.Corpus(self.documents(), self.postings() if self._table("postings").latest().files else None, self.relationships())
 
-    def search(self, term: str, first: int = corpus.MIN_YEAR, last: int = corpus.MAX_YEAR) -> DataFrame:
+    def search(self, term: str, first: int = MIN_YEAR, last: int = MAX_YEAR) -> DataFrame:
         from corpusloom.operators.search import search
 
         c = self.corpus()
         return search(c.docs, [term], first, last, c.postings).select("pmid")
 
-    def count(self, first: int = corpus.MIN_YEAR, last: int = corpus.MAX_YEAR) -> int:
+    def count(self, first: int = MIN_YEAR, last: int = MAX_YEAR) -> int:
         return corpus.count_documents(self.documents(), first, last).first()[0]
 
     def associate(self, **params) -> DataFrame:

@@ -15,8 +15,8 @@ def once_per_id(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """
     body = F.struct(*[F.col(c) for c in columns])
     return (
-        df.select(key, body.alias("body"))
-        .groupBy(F.col(key), F.when(F.col(key).isNull(), F.col("body")).alias("unidentified"))
-        .agg(F.max("body").alias("body"))
-        .select(key, "body.*")
+        df.select(key, body.alias("_body"))
+        .groupBy(F.col(key), F.when(F.col(key).isNull(), F.col("_body")).alias("_unidentified"))
+        .agg(F.max("_body").alias("_body"))
+        .select(key, "_body.*")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -114,10 +115,10 @@ def scorer_input(data: DataFrame, chains: bool) -> DataFrame:
 
 
 def write_scorer_input(data: DataFrame, chains: bool, folder: str, config: dict) -> None:
-    """The job folder of the scorer: data as tab-separated text with a header, and its configuration as one JSON text."""
+    """The job folder of the scorer: a job's entries as one tab-separated file with a header, its configuration as JSON."""
     spark = data.sparkSession
-    scorer_input(data, chains).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "\u0000").csv(f"{folder}/data")
-    spark.createDataFrame([(__import__("json").dumps(config, indent=4),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/config")
+    scorer_input(data, chains).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "\u0000").csv(f"{folder}/data")
+    spark.createDataFrame([(json.dumps(config, indent=4),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/config")
 
 
 def config_template(p: EvaluationParams, chains: bool) -> dict:

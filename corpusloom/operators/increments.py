@@ -42,8 +42,9 @@ def data_files(df: DataFrame) -> list[str]:
 def with_positions(spark: SparkSession, files: list[str], columns: list[str] | None = None) -> DataFrame:
     """Records of Parquet files with file_path and row_index; own columns of these names are hidden."""
     df = spark.read.parquet(*map(unquote, files))
+    at = df.metadataColumn("_metadata")  # also if the table has a column of that name
     own = [c for c in (columns or df.columns) if c not in POSITION]
-    return df.select(*[F.col(f"`{c}`") for c in own], F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"))
+    return df.select(*[F.col(f"`{c}`") for c in own], at["file_path"].alias("file_path"), at["row_index"].alias("row_index"))
 
 
 class VersionedTable:

@@ -27,11 +27,11 @@ def between(edges: DataFrame, pairs: DataFrame, docs: DataFrame | None = None, f
 
     edges as load_edges gives them. An edge keeps its own direction in a_term and b_term. At most cap pmids are looked
     at; with years given, those of other or unknown documents are dropped then, and edges without any left are too.
-    Pairs are matched by the two names in order, one equi-join for both directions.
+    NULL names match nothing. Pairs are matched by the two names in order, one equi-join for both directions.
     """
-    p = pairs.select("a", "b", sanitized("a").alias("_a"), sanitized("b").alias("_b")).distinct()
+    p = pairs.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", sanitized("a").alias("_a"), sanitized("b").alias("_b")).distinct()
     p = p.select("a", "b", F.least("_a", "_b").alias("k1"), F.greatest("_a", "_b").alias("k2"))
-    e = edges.select(F.least("head", "tail").alias("k1"), F.greatest("head", "tail").alias("k2"), F.col("head").alias("a_term"), F.col("head_type").alias("a_type"), F.col("tail").alias("b_term"), F.col("tail_type").alias("b_type"), F.col("relation").alias("relationship"), F.slice("evidence", 1, cap).alias("pmids"), "source")
+    e = edges.where("head IS NOT NULL AND tail IS NOT NULL").select(F.least("head", "tail").alias("k1"), F.greatest("head", "tail").alias("k2"), F.col("head").alias("a_term"), F.col("head_type").alias("a_type"), F.col("tail").alias("b_term"), F.col("tail_type").alias("b_type"), F.col("relation").alias("relationship"), F.slice("evidence", 1, cap).alias("pmids"), "source")
     hit = p.join(e, ["k1", "k2"]).drop("k1", "k2")
     if docs is None or first is None and last is None:
         return hit

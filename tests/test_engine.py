@@ -1,0 +1,82 @@
+"""The reference scenario end to end: versions, citation updates, index, counts, phrases, years, re-opening."""
+
+import json
+import time
+
+from corpusloom.api import Engine
+from corpusloom.operators.corpus import SCHEMA
+from corpusloom.operators.index import build_postings
+from corpusloom.session import scratch
+from corpusloom.streaming.ingest import ingest_folder, merge_batch
+from tests.conftest import rows
+
+ROW = SCHEMA + ", seq long"
+
+
+def doc(pmid, text, seq, year=2020):
+    return (pmid, year, "test abstract", text, None, None, None, seq)
+
+
+def found(engine, term, *years):
+    return {r[0] for r in engine.search(term, *years).collect()}
+
+
+def test_versions_and_search(spark):
+    root = scratch(spark, "engine")
+    e = Engine(spark, root)
+    assert e.count() == 0 and found(e, "version 1") == set()
+    e.add_documents(spark.createDataFrame([doc(1, "Test Text Version...1", 1), doc(1, "Test Text Version...2", 2)], ROW))
+    e.add_documents(spark.createDataFrame([(1, 5), (2, 10)], "pmid long, citation_count long"))
+    e.index()
+    assert [e.count(), e.count(2020, 2020), e.count(2019, 2019), e.count(2019, 2021), e.count(2021, 2022)] == [1, 1, 0, 1, 0]
+    assert (found(e, "version 1"), found(e, "version 2"), found(e, "nonexistent")) == (set(), {1}, set())
+    assert e.documents().first()["citation_count"] == 5
+    assert [found(e, "version 2", *y) for y in [(2020, 2020), (2019, 2019), (2019, 2021), (2021, 2022)]] == [{1}, set(), {1}, set()]
+    e = Engine(spark, root)  # opened again
+    assert found(e, "version 2") == {1}
+    e.add_documents(spark.createDataFrame([doc(1, "Test Text Version...3", 3), doc(1, "Test Text Version...4", 4)], ROW))
+    e.index()
+    assert [found(e, f"version {k}") for k in (1, 2, 3, 4)] == [set(), set(), set(), {1}] and e.count() == 1
+    # both first versions, the canonical row they were compared with, and both later ones
+    assert {r["abstract"][-1] for r in e.versions().collect()} == {"1", "2", "3", "4"}
+
+
+def test_positions(spark):
+    d = spark.createDataFrame([(1, "The quick brown fox", "jumps over the lazy dog"), (2, None, "a b"), (3, "", ""), (4, None, None), (5, "x", None)], "pmid long, title string, abstract string")
+    p = rows(build_postings(d).select("pmid", "ngram", "pos"))
+    assert (1, "brown fox", 2) in p and (1, "jumps", 5) in p and (1, "jumps over", 5) in p and not any(g == "fox jumps" for _, g, _ in p)
+    assert [(g, k) for i, g, k in p if i == 2] == [("a b", 2), ("a", 2), ("b", 3)] and [g for i, g, _ in p if i == 5] == ["x"] and not any(i in (3, 4) for i, *_ in p)
+
+
+def test_jobs(spark):
+    e = Engine(spark, scratch(spark, "engine"))
+    e.add_documents(spark.createDataFrame([doc(i, "alpha beta" if i % 2 else "alpha", i) for i in range(1, 9)], ROW))
+    i = e.submit_index()
+    a = e.submit_association(a_terms=["alpha"], b_terms=["beta"], censor_year=2022)
+    deadline = time.time() + 120
+    while any(e.queue.get(x)["status"] in ("queued", "started") for x in (i, a)) and time.time() < deadline:
+        time.sleep(0.1)
+    assert e.queue.get(i)["status"] == "finished"
+    r = e.queue.get(a)
+    assert r["status"] == "finished" and r["result"][0]["ab_count"] == 4 and r["result"][0]["a_count"] == 8 and r["progress"] == 1.0
+    assert e.queue.get("unknown") is None and e.queue.cancel("unknown") is None and not e.queue.indexing()
+    f = e.queue.submit(lambda job: 1 / 0, "NO SUCH QUEUE")
+    while e.queue.get(f)["status"] in ("queued", "started"):
+        time.sleep(0.05)
+    assert e.queue.get(f)["status"] == "failed" and e.queue.get(f)["error"].startswith("An error") and e.queue.get(f)["queue"] == "MEDIUM"
+    assert e.queue.table().count() == 3
+
+
+def test_streaming_ingest(spark, tmp_path):
+    e = Engine(spark, scratch(spark, "engine"))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.json").write_text("\n".join(json.dumps({"pmid": k, "pub_year": 2000, "title": "t", "abstract": f"word{k} common", "seq": k}) for k in (1, 2)))
+    ingest_folder(spark, str(folder), e, str(tmp_path / "cp"))
+    assert found(e, "common") == {1, 2}
+    (folder / "2.json").write_text(json.dumps({"pmid": 2, "pub_year": 2001, "title": "t", "abstract": "other", "seq": 3}))
+    ingest_folder(spark, str(folder), e, str(tmp_path / "cp"))
+    assert found(e, "common") == {1} and found(e, "other") == {2}
+    before = e.versions().count()
+    merge_batch(e, spark.createDataFrame([doc(2, "late repeat", 9)], ROW), 1)  # a batch that was merged already
+    assert e.versions().count() == before and found(e, "late repeat") == set()
