@@ -1,8 +1,8 @@
 """Frequency of every distinct value or term: recursive radix spilling, each partition aggregated out of core by DuckDB.
 
 Map tasks combine what they can and the rows (field, term, record, occurrences, records) are partitioned by hash bits of
-the term to the shared disk. Partitions above a size limit are read again and split by further bits: of the term, and of
-the record in every second step, since a single term's rows cannot be separated by bits of the term. Each leaf is then
+the term to the shared disk. All partitions above a size limit are read again in one job and split by further bits: of the
+record and of the term in turn, since a single term's rows cannot be separated by bits of the term. Each leaf is then
 aggregated by DuckDB with a memory limit, spilling to the shared folder; leaves of one term add up.
 """
 
@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import file_system, scratch
@@ -69,18 +69,16 @@ def _bits(level: int) -> Column:
     return F.shiftright(h, at).bitwiseAND((1 << SPLIT_BITS) - 1).cast("int")
 
 
-def _sizes(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
-    fs, p = file_system(spark, folder)
-    return [(s.getPath().toString(), fs.getContentSummary(s.getPath()).getLength()) for s in fs.listStatus(p) if s.getPath().getName().startswith("digit=")]
-
-
-def _spill(rows: DataFrame, level: int) -> list[tuple[str, int]]:
+def _spill(rows: DataFrame, level: int) -> dict[str, tuple[str, int]]:
+    """Writes rows (and their part, the digits so far) by a further digit; the folder and size of each new part."""
     spark = rows.sparkSession
     folder = scratch(spark, f"radix-{level}")
     n = max(1 << SPLIT_BITS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = F.pmod(F.xxhash64("record"), F.lit(max(1, n >> SPLIT_BITS)))
-    rows.withColumn("digit", _bits(level)).repartition(n, "digit", spread).write.partitionBy("digit").parquet(folder)
-    return _sizes(spark, folder)
+    spread = F.pmod(F.xxhash64("record"), F.lit(max(1, n >> SPLIT_BITS)))  # a hot term's part is written by several tasks
+    rows.withColumn("part", F.concat("part", F.hex(_bits(level)))).repartition(n, "part", spread).write.partitionBy("part").parquet(folder)
+    fs, p = file_system(spark, folder)
+    parts = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part=")]
+    return {q.getName()[5:]: (q.toString(), fs.getContentSummary(q).getLength()) for q in parts}
 
 
 def _aggregate(spill: str):
@@ -115,16 +113,21 @@ def term_frequencies(rows: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame
     table gives no rows. Columns besides these five are not read.
     """
     spark = rows.sparkSession
-    todo = [(p, n, 0) for p, n in _spill(rows.select("field_name", "term", "record", "occurrences", "records").where(F.col("term").isNotNull()), 0)]
-    leaves, divided = [], False
-    while todo:
-        path, n, level = todo.pop()
-        if n <= leaf_bytes or level + 1 >= 2 * (64 // SPLIT_BITS):
-            leaves.append(path)
-            continue
-        parts = _spill(spark.read.schema(SPILL_SCHEMA).parquet(path), level + 1)
-        divided |= level % 2 == 0
-        todo += [(p, k, level + 1) for p, k in parts]
+    parts = _spill(rows.select("field_name", "term", "record", "occurrences", "records").where(F.col("term").isNotNull()).withColumn("part", F.lit("")), 0)
+    leaves, level, divided, parent = [], 0, False, {}
+    while parts:
+        # a part that two digits, one of the term and one of the record, hardly made smaller consists of equal rows
+        stuck = {d for d, (_, n) in parts.items() if level > 1 and n > 0.9 * parent.get(d[:-2], n / 0.8)}
+        large = {d: x for d, x in parts.items() if x[1] > leaf_bytes and d not in stuck and level + 1 < 2 * (64 // SPLIT_BITS)}
+        leaves += [x[0] for d, x in parts.items() if d not in large]
+        parent = parent | {d: n for d, (_, n) in large.items()}
+        if not large:
+            break
+        level += 1
+        divided |= level % 2 == 1
+        paths = [x[0] for x in large.values()]
+        again = spark.read.schema(SPILL_SCHEMA + ", part string").option("basePath", paths[0].rsplit("/", 1)[0]).parquet(*paths)
+        parts = _spill(again, level)
     schema = "field_name string, term string, occurrences long, records long"
     if not leaves:
         return spark.createDataFrame([], schema)

@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import words
 from corpusloom.session import materialize
 
-#: Neighbouring bits in a partition; the share of texts that must leave in a round for another one to be worth it.
+#: Neighbouring bits in a partition; bits whose thresholds are found together; the share of texts that must leave in a round for another one to be worth it.
 GROUP = 3
+SPAN = 1500
 WORTH = 0.05
 MAX_ROUNDS = 6
 
@@ -70,8 +71,19 @@ def _live(texts: DataFrame, p: int, q: int) -> DataFrame:
 def allocate(pos: np.ndarray, df: np.ndarray, cover: int, group: int = GROUP) -> np.ndarray:
     """Indices of the bits to probe: sum(T_i + 1) = cover of them at the least estimated number of candidates.
 
-    Partitions are runs of up to `group` neighbouring bits. Probing k bits of one costs the sum of their frequencies in
-    index rows read and, as neighbours find the same texts, about the largest frequency in candidates to verify.
+    Partitions are runs of up to `group` neighbouring bits. Very long texts are cut into chunks of SPAN bits; a chunk has to
+    cover as many errors as it has of the `cover` rarest bits, so time and memory stay in proportion to the length.
+    """
+    if len(df) <= SPAN:
+        return _allocate(pos, df, cover, group)
+    share = np.bincount(np.argsort(df, kind="stable")[:cover] // SPAN, minlength=-(-len(df) // SPAN))
+    parts = [s * SPAN + _allocate(pos[s * SPAN : (s + 1) * SPAN], df[s * SPAN : (s + 1) * SPAN], int(k), group) for s, k in enumerate(share) if k]
+    return np.concatenate(parts)
+
+
+def _allocate(pos: np.ndarray, df: np.ndarray, cover: int, group: int) -> np.ndarray:
+    """Probing k bits of a partition costs the sum of their frequencies in index rows read and, as neighbours find the same
+    texts, about the largest frequency in candidates to verify; a dynamic program over the partitions minimises the sum.
     """
     n = len(df)
     cut = np.flatnonzero(np.diff(pos) != 1) + 1

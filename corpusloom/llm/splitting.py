@@ -127,7 +127,7 @@ def split_texts(docs: DataFrame, key: str, text: str, limits: list[tuple[str, in
     at most max_tokens of its own too. A piece but the last ends at the last section, paragraph, line or sentence end in
     reach that keeps the next unit whole, at a word's end only where there is none of these, within a word only where
     there are no words; a single character of more tokens than fit makes a piece of its own. The next piece starts
-    overlap_tokens before that end (or a few more, to start with a whole character); cutting each piece's shared tokens
+    overlap_tokens before that end (a few more, to start with a whole character; fewer if the piece itself is shorter); cutting each piece's shared tokens
     and joining the rest gives the text. NULL, empty and small texts have no pieces. Rows with NULL or repeated keys are
     split each by itself. An overlap that is NULL counts 0; it must be below half the limit. One pass without a shuffle.
     """

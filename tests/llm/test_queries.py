@@ -1,0 +1,26 @@
+"""Every registered query of llm against its SQL, over whole tables of the smallest scale."""
+
+import pytest
+
+from corpusloom.llm import queries
+from tools_compare import connect, rows_of
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return connect(DATA)
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query(spark, duck, name):
+    df = queries.QUERIES[name](spark, DATA)
+    got = rows_of(df.columns, df.collect())
+    if name not in queries.ORACLE:
+        assert got
+        return
+    cur = duck.execute(queries.ORACLE[name])
+    columns = [c[0] for c in cur.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert got == rows_of(columns, cur.fetchall())
