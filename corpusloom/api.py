@@ -11,7 +11,10 @@ from corpusloom.operators import association, corpus, hypotheses, index, knowled
 from corpusloom.operators.corpus import MAX_YEAR, MIN_YEAR
 from corpusloom.operators.increments import VersionedTable
 from corpusloom.operators.jobs import JobQueue, priority_of
+from corpusloom.operators.search import search
+from corpusloom.operators.terms import sanitize
 from corpusloom.session import file_system
+from corpusloom.sources import records
 
 
 class Engine:
@@ -62,13 +65,50 @@ class Engine:
         self._table("versions").append(versions)
         self._replace("documents", kept, processed)
 
-    def index(self) -> None:
-        """Brings the postings up to date with the documents that changed since the last time."""
+    def load_articles(self, folder: str, most: int = 100, pattern: str = "*.xml.gz") -> int:
+        """Adds the articles of files that are not loaded yet, at most so many files in order of name; their number.
+
+        A file is loaded if a version has it as its origin or if it was listed as done by an earlier call.
+        """
+        log = self._read("loaded_files", "origin string")
+        done = log.unionByName(self.versions().select("origin").distinct())
+        files = records.list_files(self.spark, folder, pattern)
+        names = [r[0] for r in records.files_to_read(files, files.limit(0), done, most).select("name").collect()]  # at most `most`
+        if names:
+            self.add_documents(records.read_articles(self.spark, [f"{folder}/{n}" for n in names]).withColumn("seq", F.lit(0)))
+            self._table("loaded_files").append(self.spark.createDataFrame([(n,) for n in names], "origin string"))
+        return len(names)
+
+    def load_citations(self, path: str) -> None:
+        self.add_documents(records.read_citations(self.spark, path))
+
+    def load_edges(self, path: str, source: str) -> None:
+        self._table("relationships").append(knowledge.load_edges(records.read_edges(self.spark, path, source)))
+
+    def keep_terms(self, terms: list[str]) -> None:
+        """Stores the documents of these terms; searches for them read the stored lists, and indexing renews these."""
+        known = [r[0] for r in self._read("kept_terms", "term string").collect()]  # the terms that were asked for
+        self._replace("kept_terms", self.spark.createDataFrame([(t,) for t in dict.fromkeys([*known, *map(sanitize, terms)])], "term string"))
+        self._renew_terms()
+
+    def _renew_terms(self) -> None:
+        terms = [r[0] for r in self._read("kept_terms", "term string").collect()]
+        if terms:
+            c = self.corpus()
+            names = self.spark.createDataFrame(list(enumerate(terms)), "term_no int, term string")
+            found = search(c.docs, terms, postings=c.postings).join(F.broadcast(names), "term_no").select("term", "pmid")  # the asked terms
+            self._replace("term_documents", found.repartitionByRange("term", "pmid"))
+
+    def index(self, report: Callable[[float], None] = lambda x: None) -> None:
+        """Brings postings and stored term lists up to date with the documents that changed since the last time."""
         docs = self.documents()
         changed = docs.where("NOT is_indexed").select("pmid", "title", "abstract")
+        report(0.25)
         fresh = index.reindex(self.postings(), changed)
         self._replace("postings", fresh.repartitionByRange("ngram", "pmid").sortWithinPartitions("ngram", "pmid", "pos"))
+        report(0.75)
         self._replace("documents", docs.withColumn("is_indexed", F.lit(True)))
+        self._renew_terms()
 
     def add_relationships(self, edges: DataFrame) -> None:
         self._table("relationships").append(knowledge.load_edges(edges))
@@ -77,9 +117,10 @@ class Engine:
         return association.Corpus(self.documents(), self.postings() if self._table("postings").latest().files else None, self.relationships())
 
     def search(self, term: str, first: int = MIN_YEAR, last: int = MAX_YEAR) -> DataFrame:
-        from corpusloom.operators.search import search
-
-        c = self.corpus()
+        c, text = self.corpus(), sanitize(term)
+        if not self._read("kept_terms", "term string").where(F.col("term") == text).isEmpty():
+            found = self._read("term_documents", "term string, pmid long").where(F.col("term") == text).select("pmid")
+            return found.join(corpus.in_years(c.docs, first, last).select("pmid"), "pmid", "left_semi")
         return search(c.docs, [term], first, last, c.postings).select("pmid")
 
     def count(self, first: int = MIN_YEAR, last: int = MAX_YEAR) -> int:
@@ -92,7 +133,7 @@ class Engine:
         return knowledge.between(self.relationships(), self.spark.createDataFrame([(a_term, b_term)], "a string, b string"), self.documents(), first, last).drop("a", "b")
 
     def evaluate(self, params: dict, scorer: Callable, schema: str) -> DataFrame:
-        return hypotheses.evaluate(self.corpus(), hypotheses.EvaluationParams(**params), scorer, schema)
+        return hypotheses.evaluate(self.corpus(), hypotheses.EvaluationParams.of(params), scorer, schema)
 
     def submit_association(self, **params) -> str:
         """Queues a job whose result is a list of dictionaries; small jobs come first."""
@@ -101,7 +142,7 @@ class Engine:
         return self.queue.submit(lambda job: [r.asDict(True) for r in association.associate(self.corpus(), p).collect()], priority_of(n), p.id)
 
     def submit_index(self) -> str:
-        return self.queue.submit(lambda job: self.index(), "INDEXING")
+        return self.queue.submit(lambda job: self.index(job.report), "INDEXING")
 
     def exists(self) -> bool:
         fs, p = file_system(self.spark, self.root)

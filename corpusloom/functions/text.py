@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The characters of a word; blanks that trimming removes.
+#: The characters of a word; marks around the part of an error that users see, and what they see without
+#: one; blanks that trimming removes.
 WORD = r"[\p{L}\p{N}]+"
+ERROR_BEGIN, ERROR_END = "-BEGIN USER-FACING ERROR-", "-END USER-FACING ERROR-"
+GENERAL_ERROR = "An error occurred during execution of this job."
 BLANKS = " \t\n\r\x0b\x0c\x85\xa0  　"
 
 
@@ -82,6 +85,11 @@ def iteration_of(path: Column | str) -> Column:
 def user_error(trace: Column | str) -> Column:
     """The part of an error text that is meant for users; a general sentence unless there is exactly one such part."""
     c = col(trace)
-    once = F.size(F.split(c, "-BEGIN USER-FACING ERROR-")) == 2
-    part = F.trim(F.regexp_extract(c, r"(?s)-BEGIN USER-FACING ERROR-(.*?)(?:-END USER-FACING ERROR-|$)", 1))
-    return F.when(c.isNotNull(), F.when(once, part).otherwise(F.lit("An error occurred during execution of this job.")))
+    once = F.size(F.split(c, ERROR_BEGIN)) == 2
+    part = F.trim(F.regexp_extract(c, rf"(?s){ERROR_BEGIN}(.*?)(?:{ERROR_END}|$)", 1))
+    return F.when(c.isNotNull(), F.when(once, part).otherwise(F.lit(GENERAL_ERROR)))
+
+
+def file_safe(name: Column | str) -> Column:
+    """A name without a URL's scheme, path, tag and dot characters."""
+    return F.translate(F.regexp_replace(col(name), r"^\w+://", ""), "/:.", "___")

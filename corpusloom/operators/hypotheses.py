@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +25,8 @@ INPUT = "a_term string, b_term string, c_term string, " + ", ".join(f"{c} array<
 @dataclass
 class EvaluationParams:
     data: list[dict]
-    KM_hypothesis: str | None = None
-    SKIM_hypotheses: dict | None = None
+    pair_hypothesis: str | None = None
+    chain_hypotheses: dict | None = None
     is_dch: bool = False
     model: str = "o3-mini"
     top_n_articles_most_cited: int = 5
@@ -37,6 +38,12 @@ class EvaluationParams:
     iterations: int = 1
     id: str | None = None
 
+    @classmethod
+    def of(cls, values: dict) -> EvaluationParams:
+        """From a payload; whatever a client calls its hypothesis of pairs (..._hypothesis) or of chains (..._hypotheses)."""
+        names = {k: "pair_hypothesis" if k.endswith("_hypothesis") else "chain_hypotheses" if k.endswith("_hypotheses") else k for k in values}
+        return cls(**{names[k]: v for k, v in values.items()})
+
     def validated(self) -> EvaluationParams:
         def need(ok: bool, text: str) -> None:
             if not ok:
@@ -50,23 +57,23 @@ class EvaluationParams:
         need(bool(self.data), "data must not be empty")
         if self.is_dch:
             need(len(self.data) == 2, "a direct comparison takes two entries")
-            need(self.KM_hypothesis is not None, "a direct comparison needs KM_hypothesis")
+            need(self.pair_hypothesis is not None, "a direct comparison needs pair_hypothesis")
             need(all("a_term" in x and "b_term" in x for x in self.data), "a_term and b_term are required")
             need(any(len({x[t] for x in self.data}) == 1 for t in ("a_term", "b_term")), "a direct comparison shares a term")
-            need(names(self.KM_hypothesis, "a_term", "b_term"), "KM_hypothesis must name {a_term} and {b_term}")
+            need(names(self.pair_hypothesis, "a_term", "b_term"), "pair_hypothesis must name {a_term} and {b_term}")
             return self
         need(len({"c_term" in x for x in self.data}) == 1, "entries must all be pairs or all be chains")
-        need(self.KM_hypothesis is not None or self.SKIM_hypotheses is not None, "a hypothesis is required")
+        need(self.pair_hypothesis is not None or self.chain_hypotheses is not None, "a hypothesis is required")
         need(all("a_term" in x and "b_term" in x for x in self.data), "a_term and b_term are required")
-        if self.SKIM_hypotheses is not None:
+        if self.chain_hypotheses is not None:
             need(all("c_term" in x for x in self.data), "c_term is required for chains")
-        if self.KM_hypothesis is not None:
-            need(names(self.KM_hypothesis, "a_term", "b_term"), "KM_hypothesis must name {a_term} and {b_term}")
+        if self.pair_hypothesis is not None:
+            need(names(self.pair_hypothesis, "a_term", "b_term"), "pair_hypothesis must name {a_term} and {b_term}")
             return self
         parts = {"AB": ("a_term", "b_term"), "BC": ("b_term", "c_term"), "AC": ("a_term", "c_term"), "rel_AC": ("a_term", "c_term"), "ABC": ("a_term", "b_term", "c_term")}
-        need(isinstance(self.SKIM_hypotheses, dict), "SKIM_hypotheses must be a dictionary")
+        need(isinstance(self.chain_hypotheses, dict), "chain_hypotheses must be a dictionary")
         for part, terms in parts.items():
-            need(names(self.SKIM_hypotheses.get(part), *terms), f"hypothesis {part} must name " + ", ".join(f"{{{t}}}" for t in terms))
+            need(names(self.chain_hypotheses.get(part), *terms), f"hypothesis {part} must name " + ", ".join(f"{{{t}}}" for t in terms))
         return self
 
 
@@ -77,7 +84,11 @@ def year_windows(first: Column, last: Column, step: Column) -> Column:
 
 
 def windows(first: int, last: int, step: int | None) -> list[tuple[int, int]]:
-    return [(first, last)] if step is None else [(s, min(s + step - 1, last)) for s in range(first, last + 1, step)]
+    """year_windows on the driver."""
+    if step is None:
+        return [(first, last)]
+    edges = [*range(first, last + 1, step), last + 1]
+    return [(lo, after - 1) for lo, after in pairwise(edges)]
 
 
 def fill_articles(corpus: Corpus, data: list[dict], first: int, last: int) -> DataFrame:
@@ -123,7 +134,7 @@ def write_scorer_input(data: DataFrame, chains: bool, folder: str, config: dict)
 
 def config_template(p: EvaluationParams, chains: bool) -> dict:
     """What the scorer is told about a job, without any secrets."""
-    hypotheses = {"KM_hypothesis": p.KM_hypothesis} if not chains else {"SKIM_hypotheses": p.SKIM_hypotheses}
+    hypotheses = {"chain_hypotheses": p.chain_hypotheses} if chains else {"pair_hypothesis": p.pair_hypothesis}
     return {"JOB_TYPE": "chains" if chains else ("direct_comparison" if p.is_dch else "pairs"), **hypotheses, "MODEL": p.model, "POST_N": p.post_n, "TOP_N_ARTICLES_MOST_CITED": p.top_n_articles_most_cited, "TOP_N_ARTICLES_MOST_RECENT": p.top_n_articles_most_recent, "ITERATIONS": p.iterations}
 
 

@@ -10,11 +10,10 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import InheritableThread  # noqa: F401  (threads of jobs inherit the session's properties)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import short_description
+from corpusloom.functions.text import GENERAL_ERROR, short_description
 from corpusloom.operators.association import UserError
 
 #: Queues in order of priority; a job of more terms is of medium priority.
@@ -105,7 +104,7 @@ class JobQueue:
             job.exception = traceback.format_exc()
             if job.status != "canceled":
                 job.status = "failed"
-            job.logs["error"] = str(e) if isinstance(e, UserError) else "An error occurred during execution of this job."
+            job.logs["error"] = str(e) if isinstance(e, UserError) else GENERAL_ERROR
         finally:
             with self.state:
                 self.writer, self.readers = False if alone else self.writer, self.readers - (not alone)

@@ -33,7 +33,7 @@ def read_articles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Title and abstract are all text inside their elements; several abstract parts are joined by a blank; absent ones are
     NULL. Files are read in parallel, a file that cannot be read fails the job after Spark's retries.
     """
-    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").option("ignoreSurroundingSpaces", False).schema(ARTICLE).load(paths if isinstance(paths, str) else ",".join(paths))
+    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").option("ignoreSurroundingSpaces", False).schema(ARTICLE).load(paths)
     a = raw.select("MedlineCitation.*", F.col("_metadata.file_name").alias("origin"))
     date = F.col("Article.Journal.JournalIssue.PubDate")
     parts = F.transform("Article.Abstract.AbstractText", lambda x: inner_text(F.coalesce(x, F.lit(""))))

@@ -20,13 +20,16 @@ def merge_batch(engine: Engine, batch: DataFrame, batch_id: int) -> None:
     engine.index()
 
 
-def ingest_folder(spark: SparkSession, folder: str, engine: Engine, checkpoint: str, files_per_batch: int = 100):
+def ingest_folder(spark: SparkSession, folder: str, engine: Engine, checkpoint: str, files_per_batch: int = 100, archive: str | None = None):
     """Reads all JSON files of documents that came since the last call (trigger availableNow) and waits for the end.
 
     The checkpoint's file log says which files are done. Rows need pmid and any of the fields; order within a batch is by
-    seq, else by file and row.
+    seq, else by the fields. Files that were merged are moved to the archive folder if there is one.
     """
-    stream = spark.readStream.schema(SCHEMA + ", seq long").option("maxFilesPerTrigger", files_per_batch).json(folder)
+    reader = spark.readStream.schema(SCHEMA + ", seq long").option("maxFilesPerTrigger", files_per_batch)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    stream = reader.json(folder)
     ordered = stream.withColumn("seq", F.coalesce("seq", F.lit(0)))
     query = ordered.writeStream.foreachBatch(lambda b, i: merge_batch(engine, b, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -1,4 +1,4 @@
-"""The reference scenario end to end: versions, citation updates, index, counts, phrases, years, re-opening."""
+"""One scenario end to end: versions, citation updates, index, counts, phrases, years, re-opening."""
 
 import json
 import time
@@ -80,3 +80,25 @@ def test_streaming_ingest(spark, tmp_path):
     before = e.versions().count()
     merge_batch(e, spark.createDataFrame([doc(2, "late repeat", 9)], ROW), 1)  # a batch that was merged already
     assert e.versions().count() == before and found(e, "late repeat") == set()
+
+
+def test_loading_files_and_kept_terms(spark, tmp_path):
+    import gzip
+
+    e = Engine(spark, scratch(spark, "engine"))
+    item = "<PubmedArticle><MedlineCitation><PMID>{0}</PMID><Article><Journal><JournalIssue><PubDate><Year>2000</Year></PubDate></JournalIssue></Journal><ArticleTitle>common word{0}</ArticleTitle></Article></MedlineCitation></PubmedArticle>"
+    for k in (1, 2, 3):
+        with gzip.open(tmp_path / f"f{k}.xml.gz", "wt") as f:
+            f.write(f"<PubmedArticleSet>{item.format(k)}</PubmedArticleSet>")
+    assert [e.load_articles(str(tmp_path), 2), e.load_articles(str(tmp_path), 2), e.load_articles(str(tmp_path), 2)] == [2, 1, 0]
+    (tmp_path / "c.json").write_text('{"pmid": 2, "citation_count": 7}')
+    e.load_citations(str(tmp_path / "c.json"))
+    (tmp_path / "k.tsv").write_text("h\th\th\th\th\th\nA_1\tA\tR\tb\tB\t[1, 2]\n")
+    e.load_edges(str(tmp_path / "k.tsv"), "s")
+    assert rows(e.edges("b", "a 1", 1990, 2010).select("pmids", "a_term")) == [([1, 2], "a 1")] and e.count() == 3
+    e.index()
+    e.keep_terms(["common | word9", "word1"])
+    assert found(e, "common | word9") == {1, 2, 3} and found(e, "common|word9", 2001, 2100) == set() and found(e, "word1") == {1}
+    e.add_documents(spark.createDataFrame([doc(4, "common", 1)], ROW))
+    e.index()
+    assert found(e, "common|word9") == {1, 2, 3, 4}

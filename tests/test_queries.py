@@ -2,11 +2,11 @@
 
 import pytest
 
-from corpusloom.plans import problems, reference
+from corpusloom.plans import engine, problems
 from tools_compare import connect, rows_of
 
 DATA = "/root/testdata/sf0.001"
-ALL = {n: (f, m.ORACLE.get(n)) for m in (problems, reference) for n, f in m.QUERIES.items()}
+ALL = {n: (f, m.ORACLE.get(n)) for m in (problems, engine) for n, f in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")

@@ -62,19 +62,20 @@ def test_windows(spark):
         assert [tuple(x) for x in r["w"]] == cases[r["a"], r["b"], r["s"]] == H.windows(*r[:3])
 
 
-PAIR = {"data": [{"a_term": "a", "b_term": "b"}], "KM_hypothesis": "{a_term} {b_term}"}
-CHAIN = {"data": [{"a_term": "a", "b_term": "b", "c_term": "c"}], "SKIM_hypotheses": {"AB": "{a_term}{b_term}", "BC": "{b_term}{c_term}", "AC": "{a_term}{c_term}", "rel_AC": "{a_term}{c_term}", "ABC": "{a_term}{b_term}{c_term}"}}
+PAIR = {"data": [{"a_term": "a", "b_term": "b"}], "pair_hypothesis": "{a_term} {b_term}"}
+CHAIN = {"data": [{"a_term": "a", "b_term": "b", "c_term": "c"}], "chain_hypotheses": {"AB": "{a_term}{b_term}", "BC": "{b_term}{c_term}", "AC": "{a_term}{c_term}", "rel_AC": "{a_term}{c_term}", "ABC": "{a_term}{b_term}{c_term}"}}
 
 
 def test_evaluation_parameters():
     assert H.EvaluationParams(**PAIR).validated().iterations == 1 and H.EvaluationParams(**CHAIN).validated().censor_year_increment is None
+    assert H.EvaluationParams.of({"data": [], "x_hypothesis": "h", "y_hypotheses": {}}) == H.EvaluationParams([], "h", {})
     for ok in (1, 3, 10):
         H.EvaluationParams(**PAIR, iterations=ok).validated()
     two = [{"a_term": "a", "b_term": "b"}, {"a_term": "a", "b_term": "c"}]
     H.EvaluationParams(two, "{a_term} {b_term}", is_dch=True).validated()
     bad = [PAIR | {"iterations": x} for x in (0, -1, 11)] + [PAIR | {"censor_year_increment": x} for x in (0, -1)]
-    bad += [PAIR | {"data": []}, PAIR | {"KM_hypothesis": None}, PAIR | {"KM_hypothesis": "{a_term}"}, PAIR | {"data": [*PAIR["data"], *CHAIN["data"]]}, CHAIN | {"SKIM_hypotheses": {"AB": "{a_term}{b_term}"}}, PAIR | {"data": [{"a_term": "a"}]}]
-    bad += [PAIR | {"is_dch": True}, {"data": [{"a_term": "a", "b_term": "b"}, {"a_term": "x", "b_term": "c"}], "KM_hypothesis": "{a_term} {b_term}", "is_dch": True}]
+    bad += [PAIR | {"data": []}, PAIR | {"pair_hypothesis": None}, PAIR | {"pair_hypothesis": "{a_term}"}, PAIR | {"data": [*PAIR["data"], *CHAIN["data"]]}, CHAIN | {"chain_hypotheses": {"AB": "{a_term}{b_term}"}}, PAIR | {"data": [{"a_term": "a"}]}]
+    bad += [PAIR | {"is_dch": True}, {"data": [{"a_term": "a", "b_term": "b"}, {"a_term": "x", "b_term": "c"}], "pair_hypothesis": "{a_term} {b_term}", "is_dch": True}]
     for b in bad:
         with pytest.raises(UserError):
             H.EvaluationParams(**b).validated()

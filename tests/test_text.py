@@ -49,6 +49,7 @@ def test_small_functions(spark):
     assert one(spark, "a b c", X.gram_order) == 3
     assert one(spark, 12_345_678, X.document_bucket, "long") == "documents_12m"
     assert one(spark, "the", X.shard_of) == "shard_" + f"{__import__('zlib').crc32(b'the') % 950 + 1:04d}"
+    assert one(spark, "docker://a.b/c:1.2", X.file_safe) == "a_b_c_1_2"
     assert one(spark, "x" * 81, X.short_description) == "x" * 77 + "..."
     assert one(spark, "/job/output/iteration_3/x.json", X.iteration_of) == 3
     assert one(spark, "/job/output/x.json", X.iteration_of) is None
