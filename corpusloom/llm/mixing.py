@@ -22,6 +22,8 @@ TOLERANCE = 1e-10
 MAX_STEPS = 100
 #: Documents of one source and length that are ranked in one task.
 BUCKET_DOCS = 200_000
+#: Rows of the targets, which are collected and broadcast; more are an error.
+MAX_TARGETS = 10_000
 
 
 def plan_totals(targets: DataFrame, tokens: DataFrame, total_tokens: float | None = None) -> DataFrame:
@@ -106,7 +108,9 @@ def mix(docs: DataFrame, key: str, targets: DataFrame, total_tokens: float | Non
     spark = docs.sparkSession
     named = targets.select("source").where("source IS NOT NULL").distinct()
     tokens = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")).join(named, "source", "left_semi"), "tokens")
-    plans = [r.asDict() for r in plan_totals(targets, tokens, total_tokens).collect()]  # a row for each row of the settings
+    plans = [r.asDict() for r in plan_totals(targets, tokens, total_tokens).limit(MAX_TARGETS + 1).collect()]
+    if len(plans) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
     buckets = max([1, *(-(-p["docs"] // BUCKET_DOCS) for p in plans)])
     bucketed = tokens.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)).cast("int"))
     cells = materialize(bucketed.groupBy("source", "n_tokens", "bucket").agg(F.count(F.lit(1)).alias("docs")), "cells")

@@ -132,6 +132,8 @@ def split_texts(docs: DataFrame, key: str, text: str, limits: list[tuple[str, in
     split each by itself. An overlap that is NULL counts 0; it must be below half the limit. One pass without a shuffle.
     """
     limits = [(name, int(cap), int(overlap or 0)) for name, cap, overlap in limits]
+    if len(limits) > 1000:
+        raise ValueError("more than 1000 limits")
     if bad := [x for x in limits if x[1] < 1 or x[2] < 0 or 2 * x[2] >= max(2, x[1])]:
         raise ValueError(f"limits {bad}")
     cols = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
