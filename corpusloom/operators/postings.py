@@ -15,7 +15,10 @@ def fragment_postings(fragments: DataFrame, with_pos: bool = False) -> DataFrame
     NULL or empty data gives no row; elements with a NULL pmid and fragments with a NULL n-gram stay, as NULLs; a NULL
     pos comes out as an empty array. Columns besides frag_id, ngram and data are not read.
     """
-    element = (lambda x: F.struct(x["pmid"].alias("pmid"), F.coalesce(x["pos"], F.array().cast("array<int>")).alias("pos"))) if with_pos else (lambda x: x["pmid"])
-    rows = fragments.where(F.size("data") > 0).select("frag_id", trimmed_lower("ngram").alias("ngram"), F.transform("data", element).alias("data"))
+    if with_pos:
+        data = F.transform("data", lambda x: F.struct(x["pmid"].alias("pmid"), F.coalesce(x["pos"], F.array().cast("array<int>")).alias("pos")))
+    else:
+        data = F.col("data.pmid")  # as a field path, so that the scan reads no positions
+    rows = fragments.select("frag_id", trimmed_lower("ngram").alias("ngram"), data.alias("data")).where(F.size("data") > 0)
     flat = once_per_id(rows, "frag_id", ["ngram", "data"]).select("ngram", F.explode("data").alias("x"))
     return flat.select("ngram", "x.pmid", "x.pos") if with_pos else flat.select("ngram", F.col("x").alias("pmid"))
