@@ -61,11 +61,16 @@ def text_classes(docs: DataFrame, key: str, text: Column, n: int, min_words: int
 
 
 def _live(texts: DataFrame, p: int, q: int) -> DataFrame:
-    """(cid, a, bits, df): the bits that at least two texts have, of the texts that keep enough of them for any pair."""
-    flat = texts.select("cid", "a", F.posexplode("bits").alias("pos", "bit"))
+    """(cid, a, pos, bits, df): the bits that at least two texts have, of the texts that keep enough of them for any pair.
+
+    The bits are shuffled once: counting the owners and joining the counts back use the same exchange. a and pos travel
+    in one number.
+    """
+    flat = texts.select("cid", "a", F.posexplode("bits").alias("pos", "bit")).select("cid", (F.shiftleft(F.col("a").cast("long"), 32) + F.col("pos")).alias("code"), "bit").repartition("bit")
     df = flat.groupBy("bit").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    kept = flat.join(df, "bit").groupBy("cid", "a").agg(F.array_sort(F.collect_list(F.struct("pos", "bit", "df"))).alias("x"))
-    return kept.where(F.size("x") * q >= F.col("a") * p).select("cid", "a", F.col("x.pos").alias("pos"), F.col("x.bit").alias("bits"), F.col("x.df").alias("df"))
+    kept = flat.join(df.hint("merge"), "bit").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("code", "bit", "df"))).alias("x"))
+    kept = kept.withColumn("a", F.shiftright(F.element_at("x.code", 1), 32).cast("int")).where(F.size("x") * q >= F.col("a") * p)
+    return kept.select("cid", "a", F.transform("x.code", lambda c: c.bitwiseAND(0xFFFFFFFF).cast("int")).alias("pos"), F.col("x.bit").alias("bits"), F.col("x.df").alias("df"))
 
 
 def allocate(pos: np.ndarray, df: np.ndarray, cover: int, group: int = GROUP) -> np.ndarray:
@@ -88,28 +93,29 @@ def _allocate(pos: np.ndarray, df: np.ndarray, cover: int, group: int) -> np.nda
     n = len(df)
     cut = np.flatnonzero(np.diff(pos) != 1) + 1
     starts = np.concatenate([np.arange(s, e, group) for s, e in zip(np.r_[0, cut], np.r_[cut, n])])
-    ends = np.r_[starts[1:], n]
-    best = np.full(cover + 1, np.inf)
+    size = np.diff(np.r_[starts, n])
+    order = np.lexsort((df, np.repeat(np.arange(len(starts)), size)))  # by partition, then by frequency
+    own = df[order].tolist()
+    cost = np.full((group + 1, cover + 1), np.inf)  # row k: the best after probing k bits of the partition
+    taken = np.empty((len(starts), cover + 1), np.int8)
+    best = cost[0].copy()
     best[0] = 0.0
-    taken = np.zeros((len(starts), cover + 1), np.int8)
-    orders = []
-    for g, (s, e) in enumerate(zip(starts, ends)):
-        order = s + np.argsort(df[s:e], kind="stable")
-        orders.append(order)
-        own = df[order].astype(float)
-        new = best.copy()
-        for k in range(1, min(e - s, cover) + 1):
-            cost = best[: cover + 1 - k] + (own[:k].sum() + 4.0 * own[k - 1])
-            better = cost < new[k:]
-            new[k:][better] = cost[better]
-            taken[g, k:][better] = k
-        best = new
+    for g, (s, m) in enumerate(zip(starts.tolist(), size.tolist())):
+        cost[0] = best
+        total = 0.0
+        for k in range(1, min(m, cover) + 1):
+            total += own[s + k - 1]
+            np.add(best[: cover + 1 - k], total + 4.0 * own[s + k - 1], out=cost[k, k:])
+        if m < group:
+            cost[m + 1 :] = np.inf
+        taken[g] = cost.argmin(0)
+        best = cost.min(0)
     out, left = [], cover
     for g in range(len(starts) - 1, -1, -1):
         k = int(taken[g, left])
-        out.extend(orders[g][:k])
+        out.append(order[starts[g] : starts[g] + k])
         left -= k
-    return np.array(out, dtype=np.int64)
+    return np.concatenate(out)
 
 
 def _probe(p: int, q: int):
@@ -140,11 +146,8 @@ def class_pairs(classes: DataFrame, threshold: Fraction) -> DataFrame:
     """(x, y, shared, union) of all pairs of different classes with a Jaccard similarity of at least the threshold, x < y."""
     p, q = threshold.numerator, threshold.denominator
     texts = classes.where(F.col("a") > 0)
-    left = materialize(_live(texts, p, q), "live")
-    n = left.count()
+    left, n = texts, texts.count()
     for _ in range(MAX_ROUNDS):
-        if not n:
-            break
         left = materialize(_live(left.select("cid", "a", "bits"), p, q), "live")
         before, n = n, left.count()
         if before - n <= WORTH * before:

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from fractions import Fraction
@@ -125,3 +126,30 @@ def test_sharing_a_third_of_all_rows(spark):
     got = N.near_duplicate_groups(frame(spark, data), "pmid", F.col("text"), Fraction(6, 10), 3, 20)
     assert got.select("class_id").distinct().count() == 61
     assert N.near_duplicate_pairs(frame(spark, data), "pmid", F.col("text"), Fraction(6, 10), 3, 20).count() == 30 * 29 // 2
+
+
+def test_thresholds_are_the_cheapest():
+    def cost(pos, df, chosen):
+        group, total = {}, 0
+        first = 0
+        for i in range(len(pos)):  # partitions: runs of up to three neighbouring bits
+            if i and (pos[i] != pos[i - 1] + 1 or i - first == 3):
+                first = i
+            group[i] = first
+        for g in set(group.values()):
+            own = [df[i] for i in chosen if group[i] == g]
+            total += sum(own) + 4 * max(own, default=0)
+        return total
+
+    r = random.Random(1)
+    for _ in range(100):
+        n = r.randint(1, 9)
+        pos, df = np.array(sorted(r.sample(range(16), n))), np.array([r.choice([2, 3, 5, 50]) for _ in range(n)])
+        cover = r.randint(1, n)
+        assert cost(pos, df, N.allocate(pos, df, cover)) == min(cost(pos, df, c) for c in itertools.combinations(range(n), cover))
+
+
+def test_thresholds_of_a_very_long_text():
+    n = 40_000
+    got = N.allocate(np.arange(n), np.full(n, 2), 9_000)
+    assert len(set(got.tolist())) == 9_000
