@@ -116,6 +116,7 @@ SELECT ngram, CAST(sum(weight) AS BIGINT) AS n, count(pmid) AS n_distinct, arg_m
     + """, o AS (SELECT ngram, pmid, count(*) AS weight, list_sort(list_distinct(flatten(list(coalesce(pos, []))))) AS pos FROM flat GROUP BY 1, 2)
 SELECT ngram, CAST(floor(pmid / 4096) AS BIGINT) AS block_no, count(*) AS n_values, list({'pmid': pmid, 'weight': weight, 'pos': pos} ORDER BY pmid) AS entries FROM o GROUP BY 1, 2""",
     "p3_found": _STATE + "SELECT uuid FROM top WHERE rn = 1 AND NOT taken",
+    "p3_changes": _STATE.replace("SELECT DISTINCT v.uuid", "SELECT v.uuid") + "SELECT uuid, seq, CASE WHEN rn = 1 THEN 'insert' ELSE 'delete' END AS change FROM top WHERE (rn = 1) = (NOT taken)",
     "p6_found": _REL + "SELECT rel_id, 'evidence' AS field_name, target_key FROM miss UNION ALL SELECT rel_id, 'head', target_key FROM nohead",
     "p6_report": _REL
     + """, v0 AS (SELECT DISTINCT uuid, changed_at, run_id FROM document_versions WHERE run_id IS NOT NULL AND run_id NOT IN (SELECT run_id FROM index_runs)),
