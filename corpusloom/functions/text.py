@@ -38,7 +38,7 @@ def grams(tokens: Column | str, n: int) -> Column:
         return t
     return F.when(
         F.size(t) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")),
+        F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)])),
     ).otherwise(F.array().cast("array<string>"))
 
 
