@@ -18,6 +18,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import trimmed_lower
 from corpusloom.session import file_system, scratch
 
 POSITION = ["file_path", "row_index"]
@@ -191,7 +192,7 @@ def state_delta(spark: SparkSession, versions_path: str, runs: DataFrame) -> Dat
     deciding = rows.where(F.col("uuid").isNotNull()).groupBy("uuid").agg(F.max(order).alias("m")).select(*[F.col(f"m.{c}") for c in POSITION])
     last = (
         runs.groupBy("run_id")
-        .agg(F.max(F.struct("attempt", F.coalesce(F.lower(F.btrim("status")) == "finished", F.lit(False)).alias("finished"), "started_at")).alias("m"))
+        .agg(F.max(F.struct("attempt", F.coalesce(trimmed_lower("status") == "finished", F.lit(False)).alias("finished"), "started_at")).alias("m"))
         .select("run_id", "m.finished", "m.started_at")
     )
     by_run = F.col("finished") & (F.col("started_at") >= F.col("changed_at"))
