@@ -530,7 +530,7 @@ ORACLE = {
     "query_cache": f"WITH {_DOCS} " + " UNION ALL ".join(f"SELECT {_quoted(t)} AS term, count(*) AS n_documents, min(pmid) AS first_pmid, max(pmid) AS last_pmid FROM docs WHERE {_holds(t)} HAVING count(*) > 0" for t in ["older adults", "no difference in", "regimen | usual care"]),
     "count_documents_by_range": f"WITH {_DOCS} " + " UNION ALL ".join(f"SELECT {lo} AS first_year, {hi} AS last_year, count(*) AS n_documents FROM docs WHERE yr BETWEEN {lo} AND {hi}" for lo, hi in [(1000, 2100), YEARS, (2019, 2019), (2100, 2100)]),
     "get_document": "SELECT pmid, title, pub_year, citation_count FROM canonical_documents WHERE pmid = 10000011",
-    "multi_get": f"SELECT position, pmid, title FROM {_values(list(enumerate([10000085, 10000011, 1, 10000025, 10000011])), 'position, pmid')} JOIN canonical_documents USING (pmid)",
+    "multi_get": f"SELECT position, CAST(pmid AS BIGINT) AS pmid, title FROM {_values(list(enumerate([10000085, 10000011, 1, 10000025, 10000011])), 'position, pmid')} JOIN canonical_documents USING (pmid)",
     "distinct_origins": "SELECT DISTINCT origin FROM canonical_documents WHERE origin <> ''",
     "metadata_clamp": f"WITH {_DOCS} SELECT pmid, pub_year, CAST(yr AS INTEGER) AS year, citation_count, cites AS citations FROM docs",
     "contingency_table": f"WITH p AS ({_ALL_PAIRS}) SELECT DISTINCT a_term, b_term, ab_count AS both, a_count - ab_count AS only_a, b_count - ab_count AS only_b, total_count - a_count - b_count + ab_count AS neither FROM p",
@@ -550,9 +550,9 @@ ORACLE = {
     "kg_relationships_censored": _EDGE
     + f", {_DOCS.strip()}, h AS (SELECT a, b, rel_id, head, head_type, tail, tail_type, relation, source, unnest(list_distinct(evidence[1:3])) AS pmid FROM {_PAIR_VALUES} JOIN e ON (head = sa AND tail = sb) OR (head = sb AND tail = sa)) SELECT h.a, h.b, any_value(head) AS a_term, any_value(head_type) AS a_type, any_value(tail) AS b_term, any_value(tail_type) AS b_type, any_value(relation) AS relationship, list(pmid ORDER BY pmid) AS pmids, any_value(source) AS source FROM h JOIN docs USING (pmid) WHERE yr BETWEEN 1990 AND 2009 GROUP BY h.a, h.b, rel_id",
     "assoc_with_kg": _EDGE
-    + f", {_DOCS.strip()}, {_sets(_KG_TERMS)}, asked AS (SELECT * FROM {_values(_KG_PAIRS, 'a_term, b_term')}), {_test('ab', 'a', 'b', 'asked')}, g AS (SELECT a_term, b_term, count(*) AS c FROM asked JOIN e ON (head = a_term AND tail = b_term) OR (head = b_term AND tail = a_term) WHERE list_has_any(evidence[1:100], (SELECT list(pmid) FROM docs)) GROUP BY 1, 2) SELECT a_term, b_term, a_count, b_count, ab_count, CASE WHEN ab_pvalue <= 0.5 THEN coalesce(c, 0) ELSE -1 END AS n_edges FROM ab LEFT JOIN g USING (a_term, b_term)",
+    + f", {_DOCS.strip()}, {_sets(_KG_TERMS)}, asked AS (SELECT * FROM {_values(_KG_PAIRS, 'a_term, b_term')}), {_test('ab', 'a', 'b', 'asked')}, g AS (SELECT a_term, b_term, count(*) AS c FROM asked JOIN e ON (head = a_term AND tail = b_term) OR (head = b_term AND tail = a_term) WHERE list_has_any(evidence[1:100], (SELECT list(pmid) FROM docs)) GROUP BY 1, 2) SELECT a_term, b_term, a_count, b_count, ab_count, CAST(CASE WHEN ab_pvalue <= 0.5 THEN coalesce(c, 0) ELSE -1 END AS INTEGER) AS n_edges FROM ab LEFT JOIN g USING (a_term, b_term)",
     "kg_tsv_ingest": _EDGE + "SELECT relation, count(*) AS n_edges, CAST(sum(len(evidence)) AS BIGINT) AS n_evidence FROM e WHERE len(evidence) >= 2 AND head_type IS NOT NULL AND tail_type IS NOT NULL GROUP BY 1",
-    "shard_assignment": "SELECT DISTINCT lower(trim(ngram)) AS ngram, shard, replace(shard, 'fragmented_', '') AS computed, len(string_split(trim(ngram), ' ')) AS n, 'documents_10m' AS bucket FROM fragmented_shard WHERE ngram IS NOT NULL",
+    "shard_assignment": "SELECT DISTINCT lower(trim(ngram)) AS ngram, shard, replace(shard, 'fragmented_', '') AS computed, CAST(len(string_split(trim(ngram), ' ')) AS INTEGER) AS n, 'documents_10m' AS bucket FROM fragmented_shard WHERE ngram IS NOT NULL",
     "upsert_latest": _UPSERT + "SELECT pmid, pub_year, title, abstract, body, origin, citation_count FROM r WHERE rn = 1",
     "version_history": _UPSERT + "SELECT pmid, count(*) AS n_versions, max(seq) AS last_seq FROM r WHERE txt GROUP BY pmid",
     "upsert_partial": f"""WITH b AS (SELECT DISTINCT pmid, pub_year, seq FROM document_versions WHERE seq % {UPDATES_EVERY} = 0 AND seq % 2 = 0),
@@ -569,10 +569,10 @@ SELECT pmid, CAST(coalesce(y, pub_year) AS INTEGER) AS pub_year, title, coalesce
     "file_anti_join": "WITH o AS (SELECT DISTINCT origin AS name FROM document_versions WHERE origin <> '') SELECT name, CASE WHEN name < 'feed22n0020' THEN 'baseline' ELSE 'update' END AS kind FROM o WHERE name NOT IN (SELECT origin FROM canonical_documents WHERE is_indexed = 1 AND pmid % 101 = 7) ORDER BY kind, name LIMIT 25",
     "year_windows": f"WITH w AS (SELECT * FROM {_values(WORK_YEARS, 'first, last, step')}), s AS (SELECT first, last, step, CAST(unnest(CASE WHEN step IS NULL THEN [first] WHEN first > last THEN [NULL] ELSE range(first, last + 1, step) END) AS INTEGER) AS lo FROM w) SELECT first, last, step, lo, CASE WHEN lo IS NULL THEN NULL WHEN step IS NULL THEN last ELSE least(lo + step - 1, last) END AS hi FROM s",
     "scorer_inputs": f"WITH {_DOCS} SELECT 'tyvi1' AS a_term, 'older adults' AS b_term, '[' || coalesce(string_agg('''' || pmid || '''', ', ' ORDER BY pmid), '') || ']' AS ab_pmid_intersection FROM docs WHERE yr BETWEEN 2015 AND 2018 AND {_holds('tyvi1')} AND {_holds('older adults')} UNION ALL SELECT 'vimi9', 'usual care', '[''3'', ''5'']'",
-    "parse_results": f"SELECT * FROM {_values(_RES, _RES_COLUMNS)}",
+    "parse_results": f"SELECT * REPLACE (CAST(score AS DOUBLE) AS score) FROM {_values(_RES, _RES_COLUMNS)}",
     "iteration_from_path": f"SELECT * FROM {_values(list(zip(PATHS, [3, None, 2, 10])), 'path, iteration')}",
     "missing_iterations": "SELECT 2 AS iteration UNION ALL SELECT 4",
-    "xml_ingest": "SELECT pmid, pub_year, length(regexp_replace(title, '</?[A-Za-z][^<>]*>', '', 'g')) AS title_length, length(regexp_replace(abstract, '</?[A-Za-z][^<>]*>', '', 'g')) AS abstract_length FROM canonical_documents",
+    "xml_ingest": "SELECT pmid, pub_year, CAST(length(regexp_replace(title, '</?[A-Za-z][^<>]*>', '', 'g')) AS INTEGER) AS title_length, CAST(length(regexp_replace(abstract, '</?[A-Za-z][^<>]*>', '', 'g')) AS INTEGER) AS abstract_length FROM canonical_documents",
     "icite_ingest": f"WITH {_DOCS} SELECT pmid, cites + 1 AS citation_count FROM docs",
     "job_priority": "SELECT DISTINCT id, CAST(coalesce(len(a_terms), 0) + coalesce(len(b_terms), 0) + coalesce(len(c_terms), 0) AS INTEGER) AS n_terms, CASE WHEN coalesce(len(a_terms), 0) + coalesce(len(b_terms), 0) + coalesce(len(c_terms), 0) <= 50 THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM kinderminer_jobs",
     "worker_order": f"SELECT name, queue, CAST(0.9999 AS DOUBLE) AS progress FROM {_values([('w2', 'HIGH'), ('w4', 'MEDIUM'), ('w3', 'LOW'), ('w1', 'INDEXING'), ('w0', 'OTHER')], 'name, queue')}",

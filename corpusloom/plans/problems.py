@@ -34,8 +34,9 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_postings(spark: SparkSession, d: str) -> DataFrame:
-    """The complete postings of every n-gram, in blocks of 4,096 pmids."""
-    return skew.blocks(fragment_postings(table(spark, d, "fragmented_shard"), with_pos=True), ["ngram"], "pmid", "pos")
+    """The complete postings of every n-gram, in blocks of 4,096 pmids; positions as text."""
+    b = skew.blocks(fragment_postings(table(spark, d, "fragmented_shard"), with_pos=True), ["ngram"], "pmid", "pos")
+    return b.select("ngram", "block_no", "n_values", F.col("entries.pmid").alias("pmids"), F.col("entries.weight").alias("weights"), F.transform("entries.pos", lambda p: F.array_join(p, " ")).alias("positions"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +115,7 @@ SELECT ngram, CAST(sum(weight) AS BIGINT) AS n, count(pmid) AS n_distinct, arg_m
     "SELECT ngram, CAST(prob AS DOUBLE) AS prob, pmid AS percentile FROM r, p WHERE rn = greatest(1, ceil(CAST(prob AS DOUBLE) * n))",
     "p1_postings": _POSTINGS
     + """, o AS (SELECT ngram, pmid, count(*) AS weight, list_sort(list_distinct(flatten(list(coalesce(pos, []))))) AS pos FROM flat GROUP BY 1, 2)
-SELECT ngram, CAST(floor(pmid / 4096) AS BIGINT) AS block_no, count(*) AS n_values, list({'pmid': pmid, 'weight': weight, 'pos': pos} ORDER BY pmid) AS entries FROM o GROUP BY 1, 2""",
+SELECT ngram, CAST(floor(pmid / 4096) AS BIGINT) AS block_no, count(*) AS n_values, list(pmid ORDER BY pmid) AS pmids, list(weight ORDER BY pmid) AS weights, list(array_to_string(pos, ' ') ORDER BY pmid) AS positions FROM o GROUP BY 1, 2""",
     "p3_found": _STATE + "SELECT uuid FROM top WHERE rn = 1 AND NOT taken",
     "p3_changes": _STATE.replace("SELECT DISTINCT v.uuid", "SELECT v.uuid") + "SELECT uuid, seq, CASE WHEN rn = 1 THEN 'insert' ELSE 'delete' END AS change FROM top WHERE (rn = 1) = (NOT taken)",
     "p6_found": _REL + "SELECT rel_id, 'evidence' AS field_name, target_key FROM miss UNION ALL SELECT rel_id, 'head', target_key FROM nohead",
