@@ -39,11 +39,14 @@ class Splitter:
 
     def pieces(self, text: str, limits: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, int, int, int, str, str]]:
         """(limit_name, piece_no, char_start, char_end, n_tokens, shared tokens, boundary, piece) for each limit exceeded."""
-        ids = self.encoding.encode_to_numpy(text, disallowed_special=())
+        raw = text.encode()
+        least = min((cap for _, cap, _ in limits), default=len(raw))
+        if len(raw) <= least:  # no token is shorter than a byte
+            return
+        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
         n = len(ids)
-        if not any(n > cap for _, cap, _ in limits):
+        if n <= least:
             return
-        raw = text.encode()
         ends = np.cumsum(self.length[ids])
         plain = len(raw) == len(text)
         starts = np.r_[0, ends]  # byte offset of token i
