@@ -256,8 +256,7 @@ def upsert_latest(spark, d):
 def upsert_partial(spark, d):
     """Updates without text, of existing and of unknown documents."""
     now = docs(spark, d).select("pmid", *corpus.FIELDS)
-    even = _updates(spark, d).where(F.col("seq") % UPDATES_EVERY == 0)
-    bare = even.select(F.when(F.col("seq") % 2 == 0, F.col("pmid")).otherwise(F.col("pmid") + 500_000_000).alias("pmid"), F.when(F.col("seq") % 3 == 0, F.col("pub_year")).alias("pub_year"), *[F.lit(None).cast("string").alias(c) for c in corpus.TEXTS], F.lit(None).cast("string").alias("origin"), (F.col("seq") % 1000).alias("citation_count"), "seq")
+    bare = _updates(spark, d).select(F.when(F.col("seq") % 2 == 0, F.col("pmid")).otherwise(F.col("pmid") + 500_000_000).alias("pmid"), F.when(F.col("seq") % 3 == 0, F.col("pub_year")).alias("pub_year"), *[F.lit(None).cast("string").alias(c) for c in corpus.TEXTS], F.lit(None).cast("string").alias("origin"), (F.col("seq") % 1000).alias("citation_count"), "seq")
     return corpus.upsert(now, bare)[0].select("pmid", "pub_year", "title", "citation_count", "changed")
 
 

@@ -19,3 +19,10 @@ def test_files_of_any_indexed_document_are_done(spark, tmp_path):
     save(spark, tmp_path, "document_versions", [(n,) for n in [*names, names[0], "", None]], "origin string")
     save(spark, tmp_path, "canonical_documents", [doc(7, origin=names[0]), doc(8, origin=names[1]), doc(9, origin=names[3]), doc(10, origin=names[2], indexed=0), doc(11, origin=None)], DOC)
     assert rows(engine.file_anti_join(spark, str(tmp_path))) == [(names[2], "baseline"), (names[4], "update")]
+
+
+def test_every_version_is_applied_as_an_update(spark, tmp_path):
+    versions = [(1, 1990, 2), (1, 1991, 6), (1, 1992, 8), (1, 1993, 9), (2, 1994, 1014), (2, None, 1020), (2, 1995, 1010), (2, 1995, 1010)]
+    save(spark, tmp_path, "document_versions", [(p, y, "new", "new", "new", "f", 5, s) for p, y, s in versions], "pmid long, pub_year int, title string, abstract string, body string, origin string, citation_count long, seq long")
+    save(spark, tmp_path, "canonical_documents", [doc(1), doc(2), doc(3, citations=4)], DOC)
+    assert rows(engine.upsert_partial(spark, str(tmp_path))) == [(1, 1991, "t", 8, False), (2, 1994, "t", 20, False), (3, 2000, "t", 4, False)]
