@@ -221,9 +221,9 @@ def kg_load(spark, d):
     return knowledge.load_edges(_edges(spark, d)).groupBy("head", "relation", "tail", "source").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.size("evidence")).alias("n_evidence"))
 
 
-def _between(spark, d, *years, cap=knowledge.MAX_EVIDENCE):
+def _between(spark, d, *years):
     pairs = spark.createDataFrame(EDGE_PAIRS, "a string, b string")
-    return knowledge.between(knowledge.load_edges(_edges(spark, d)), pairs, docs(spark, d), *years, cap=cap)
+    return knowledge.between(knowledge.load_edges(_edges(spark, d)), pairs, docs(spark, d), *years)
 
 
 def kg_relationships(spark, d):
@@ -231,7 +231,7 @@ def kg_relationships(spark, d):
 
 
 def kg_relationships_censored(spark, d):
-    return _between(spark, d, *YEARS, cap=3)
+    return _between(spark, d, *YEARS)
 
 
 def assoc_with_kg(spark, d):

@@ -1,5 +1,6 @@
 """Registered queries use all rows of their tables: small tables in which a part of the rows gives another result."""
 
+from corpusloom.operators import knowledge
 from corpusloom.plans import engine
 from tests.conftest import rows
 
@@ -26,3 +27,22 @@ def test_every_version_is_applied_as_an_update(spark, tmp_path):
     save(spark, tmp_path, "document_versions", [(p, y, "new", "new", "new", "f", 5, s) for p, y, s in versions], "pmid long, pub_year int, title string, abstract string, body string, origin string, citation_count long, seq long")
     save(spark, tmp_path, "canonical_documents", [doc(1), doc(2), doc(3, citations=4)], DOC)
     assert rows(engine.upsert_partial(spark, str(tmp_path))) == [(1, 1991, "t", 8, False), (2, 1994, "t", 20, False), (3, 2000, "t", 4, False)]
+
+
+EDGE = "rel_id long, head string, head_type string, relation string, tail string, tail_type string, evidence string, source string"
+
+
+def test_evidence_behind_the_third_place_counts_within_the_years(spark, tmp_path):
+    late = str(list(range(1001, 1100)) + [2, 3])
+    save(spark, tmp_path, "relationships", [(1, "tyvi1", "G", "r", "tyvurdolib acetate", "D", "[90, 91, 92, 1]", "s"), (2, "vimi9", "G", "r", "tyvi1", None, '["1", 90, 2, 2, 3]', "s"), (3, "vimi9", "G", "q", "tyvi1", "G", late, "s"), (4, "vimi9", "G", "p", "tyvi1", "G", "[90, 91]", "s")], EDGE)
+    save(spark, tmp_path, "canonical_documents", [*[doc(p) for p in (1, 2, 3)], *[doc(p, year=2020) for p in (90, 91, 92)]], DOC)
+    found = engine.kg_relationships_censored(spark, str(tmp_path)).select("a", "relationship", "b_type", "pmids")
+    assert rows(found) == [("tyvi1", "r", "D", [1]), ("vimi9", "q", "G", [2]), ("vimi9", "r", None, [1, 2, 3])]  # of the 101 pmids the last is not looked at
+
+
+def test_a_small_cap_comes_before_the_years(spark):
+    edges = knowledge.load_edges(spark.createDataFrame([("x", "A", "r", "y", "B", "[90, 1, 2]", "s")], EDGE.removeprefix("rel_id long, ")))
+    pairs = spark.createDataFrame([("x", "y")], "a string, b string")
+    docs = spark.createDataFrame([doc(1), doc(2), doc(90, year=2020)], DOC)
+    got = {cap: [r["pmids"] for r in knowledge.between(edges, pairs, docs, 1990, 2009, cap=cap).collect()] for cap in (1, 2, 3)}
+    assert got == {1: [], 2: [[1]], 3: [[1, 2]]}
