@@ -356,7 +356,7 @@ def icite_ingest(spark, d):
 def kg_tsv_ingest(spark, d):
     """Edges written as tab-separated text and read again; edges of fewer than two pmids are left out."""
     out = scratch(spark, "tsv")
-    e = _edges(spark, d).where("evidence IS NOT NULL AND head_type IS NOT NULL AND tail_type IS NOT NULL")
+    e = _edges(spark, d).where("evidence IS NOT NULL")
     e.select("head", "head_type", "relation", "tail", "tail_type", "evidence").write.option("sep", "\t").option("header", True).option("quote", "\u0000").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out)
     return records.read_edges(spark, out, "file").groupBy("relation").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.size("evidence")).alias("n_evidence"))
 

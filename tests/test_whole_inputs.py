@@ -46,3 +46,9 @@ def test_a_small_cap_comes_before_the_years(spark):
     docs = spark.createDataFrame([doc(1), doc(2), doc(90, year=2020)], DOC)
     got = {cap: [r["pmids"] for r in knowledge.between(edges, pairs, docs, 1990, 2009, cap=cap).collect()] for cap in (1, 2, 3)}
     assert got == {1: [], 2: [[1]], 3: [[1, 2]]}
+
+
+def test_edges_without_types_are_written_and_read(spark, tmp_path):
+    data = [(1, "a", "G", "r", "b", "D", "[1, 2]", "s"), (2, "a", None, "r", "b", "D", '["1", 2, 3]', "s"), (3, "a", "G", "r", "b", None, "[4, 5]", "s"), (4, None, None, "q", None, None, "[6, 7]", "s"), (5, "a", None, "r", "b", None, "[8]", "s"), (6, "a", "G", "r", "b", "D", None, "s")]
+    save(spark, tmp_path, "relationships", data, EDGE)
+    assert rows(engine.kg_tsv_ingest(spark, str(tmp_path))) == [("q", 1, 2), ("r", 3, 7)]
