@@ -2,8 +2,9 @@
 
 Every document gets a rate, the expected number of its copies, as close as possible to one each (in relative entropy)
 under the constraints of its source: the target's tokens and, so that long documents are not traded for short ones, the
-same mean length. The dual of this convex problem has two variables a source, and its solution are exponentially tilted
-rates exp(a + b * length). Newton's steps need the sums of rate, rate * length and rate * length^2, which are distributed
+same mean length. The dual of this convex problem has two variables a source, and its solution are rates of the form
+exp(a + b * length). As one rate for all documents of a source, wanted / tokens, meets both constraints, b is 0 and rates are
+uniform within a source. Newton's steps need the sums of rate, rate * length and rate * length^2, which are distributed
 aggregates over a histogram of lengths. Rates are then rounded to whole copies so that the rounding errors of documents of
 neighbouring lengths cancel.
 """
