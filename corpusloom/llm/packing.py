@@ -2,7 +2,10 @@
 
 Items are spread over blocks by hash; a block is packed in one task. There the largest item left is placed first and its
 undominated completions are tried, the fullest first; branches whose waste already rules out fewer containers than the
-incumbent are cut. The first incumbent is best-fit decreasing, and a block whose incumbent meets the lower bound is done.
+incumbent are cut. Not all completions are tried: their enumeration ends after ENUMERATED nodes, so a container of more than
+that many small items has only its first, greedy filling, and the COMPLETIONS fullest of those found are kept; the search of a
+block ends after NODES_PER_ITEM nodes per item. The first incumbent is best-fit decreasing, and a block whose incumbent meets
+the lower bound is done.
 At most one container of a block can stay at most half full; the items of these are packed again in the next round, until
 one block holds all of them.
 """
@@ -74,7 +77,7 @@ def dominates(a: list[int], b: list[int]) -> bool:
 
 
 def completions(sizes: list[int], room: int) -> list[list[int]]:
-    """Undominated sets of the ascending sizes that fit into the room, the fullest first."""
+    """Undominated sets of the ascending sizes that fit into the room, the fullest first, within ENUMERATED and COMPLETIONS."""
     found: list[tuple[int, list[int]]] = []
     nodes = 0
 
