@@ -287,7 +287,9 @@ def reindex_incremental(spark, d):
     """Postings after documents went from their first versions to the canonical text: equal to a new build."""
     first = table(spark, d, "document_versions").groupBy("pmid").agg(F.min(F.struct("seq", "title", "abstract")).alias("v")).select("pmid", "v.title", "v.abstract")
     old = index.build_postings(first)
-    changed = docs(spark, d).select("pmid", "title", "abstract")
+    before = first.select("pmid", F.struct("title", "abstract").alias("_before"))
+    now = docs(spark, d).select("pmid", "title", "abstract").join(before, "pmid", "left")
+    changed = now.where(F.col("_before").isNull() | ~F.struct("title", "abstract").eqNullSafe(F.col("_before"))).drop("_before")
     return index.reindex(old, changed).groupBy("ngram").agg(F.count(F.lit(1)).alias("n_positions"), F.count_distinct("pmid").alias("n_documents"))
 
 

@@ -1,6 +1,8 @@
 """Registered queries use all rows of their tables: small tables in which a part of the rows gives another result."""
 
-from corpusloom.operators import knowledge
+from pyspark.sql import functions as F
+
+from corpusloom.operators import index, knowledge
 from corpusloom.plans import engine
 from tests.conftest import rows
 
@@ -52,3 +54,15 @@ def test_edges_without_types_are_written_and_read(spark, tmp_path):
     data = [(1, "a", "G", "r", "b", "D", "[1, 2]", "s"), (2, "a", None, "r", "b", "D", '["1", 2, 3]', "s"), (3, "a", "G", "r", "b", None, "[4, 5]", "s"), (4, None, None, "q", None, None, "[6, 7]", "s"), (5, "a", None, "r", "b", None, "[8]", "s"), (6, "a", "G", "r", "b", "D", None, "s")]
     save(spark, tmp_path, "relationships", data, EDGE)
     assert rows(engine.kg_tsv_ingest(spark, str(tmp_path))) == [("q", 1, 2), ("r", 3, 7)]
+
+
+def test_only_new_and_changed_documents_are_indexed_again(spark, tmp_path, monkeypatch):
+    versions = [(1, "same", "text", 1), (1, "other", "text", 2), (2, "old", "text", 3), (3, None, "text", 4), (4, None, "text", 5)]
+    save(spark, tmp_path, "document_versions", versions, "pmid long, title string, abstract string, seq long")
+    save(spark, tmp_path, "canonical_documents", [doc(1, title="same", abstract="text"), doc(2, title="new", abstract="text"), doc(3, title=None, abstract="text"), doc(4, title="title", abstract="text"), doc(5, title="fresh", abstract=None), doc(6, title=None, abstract=None)], DOC)
+    given, reindex = [], index.reindex
+    monkeypatch.setattr(index, "reindex", lambda old, changed: given.append(changed) or reindex(old, changed))
+    got = rows(engine.reindex_incremental(spark, str(tmp_path)))
+    assert sorted(r["pmid"] for r in given[0].collect()) == [2, 4, 5, 6]
+    new = index.build_postings(engine.docs(spark, str(tmp_path))).groupBy("ngram").agg(F.count("*"), F.count_distinct("pmid"))
+    assert got == rows(new) and ("new", 1, 1) in got and not any(r[0] == "old" for r in got)
