@@ -27,7 +27,6 @@ SEARCHES = {
 }
 YEARS = (1990, 2009)
 AS_OF = 2025
-UPDATES_EVERY = 7
 WORK_YEARS = [(2020, 2025, None), (2020, 2022, 1), (2020, 2025, 2), (2020, 2024, 2), (2020, 2020, 1), (2020, 2020, 5), (2022, 2020, 1)]
 PATHS = ["/job/output/iteration_3/x.json", "/job/output/x.json", "/job/output/results/iteration_2/x.json", "/iteration_1/a/iteration_10/b.json"]
 RESULTS = {
@@ -549,14 +548,14 @@ ORACLE = {
     "kg_load": _EDGE + "SELECT head, relation, tail, source, count(*) AS n_edges, CAST(sum(len(evidence)) AS BIGINT) AS n_evidence FROM e GROUP BY 1, 2, 3, 4",
     "kg_relationships": _EDGE + f"SELECT a, b, head AS a_term, head_type AS a_type, tail AS b_term, tail_type AS b_type, relation AS relationship, evidence[1:100] AS pmids, source FROM {_PAIR_VALUES} JOIN e ON (head = sa AND tail = sb) OR (head = sb AND tail = sa)",
     "kg_relationships_censored": _EDGE
-    + f", {_DOCS.strip()}, h AS (SELECT a, b, rel_id, head, head_type, tail, tail_type, relation, source, unnest(list_distinct(evidence[1:3])) AS pmid FROM {_PAIR_VALUES} JOIN e ON (head = sa AND tail = sb) OR (head = sb AND tail = sa)) SELECT h.a, h.b, any_value(head) AS a_term, any_value(head_type) AS a_type, any_value(tail) AS b_term, any_value(tail_type) AS b_type, any_value(relation) AS relationship, list(pmid ORDER BY pmid) AS pmids, any_value(source) AS source FROM h JOIN docs USING (pmid) WHERE yr BETWEEN 1990 AND 2009 GROUP BY h.a, h.b, rel_id",
+    + f", {_DOCS.strip()}, h AS (SELECT a, b, rel_id, head, head_type, tail, tail_type, relation, source, unnest(list_distinct(evidence[1:100])) AS pmid FROM {_PAIR_VALUES} JOIN e ON (head = sa AND tail = sb) OR (head = sb AND tail = sa)) SELECT h.a, h.b, any_value(head) AS a_term, any_value(head_type) AS a_type, any_value(tail) AS b_term, any_value(tail_type) AS b_type, any_value(relation) AS relationship, list(pmid ORDER BY pmid) AS pmids, any_value(source) AS source FROM h JOIN docs USING (pmid) WHERE yr BETWEEN 1990 AND 2009 GROUP BY h.a, h.b, rel_id",
     "assoc_with_kg": _EDGE
     + f", {_DOCS.strip()}, {_sets(_KG_TERMS)}, asked AS (SELECT * FROM {_values(_KG_PAIRS, 'a_term, b_term')}), {_test('ab', 'a', 'b', 'asked')}, g AS (SELECT a_term, b_term, count(*) AS c FROM asked JOIN e ON (head = a_term AND tail = b_term) OR (head = b_term AND tail = a_term) WHERE list_has_any(evidence[1:100], (SELECT list(pmid) FROM docs)) GROUP BY 1, 2) SELECT a_term, b_term, a_count, b_count, ab_count, CAST(CASE WHEN ab_pvalue <= 0.5 THEN coalesce(c, 0) ELSE -1 END AS INTEGER) AS n_edges FROM ab LEFT JOIN g USING (a_term, b_term)",
-    "kg_tsv_ingest": _EDGE + "SELECT relation, count(*) AS n_edges, CAST(sum(len(evidence)) AS BIGINT) AS n_evidence FROM e WHERE len(evidence) >= 2 AND head_type IS NOT NULL AND tail_type IS NOT NULL GROUP BY 1",
+    "kg_tsv_ingest": _EDGE + "SELECT relation, count(*) AS n_edges, CAST(sum(len(evidence)) AS BIGINT) AS n_evidence FROM e WHERE len(evidence) >= 2 GROUP BY 1",
     "shard_assignment": "SELECT DISTINCT lower(trim(ngram)) AS ngram, shard, replace(shard, 'fragmented_', '') AS computed, CAST(len(string_split(trim(ngram), ' ')) AS INTEGER) AS n, 'documents_10m' AS bucket FROM fragmented_shard WHERE ngram IS NOT NULL",
     "upsert_latest": _UPSERT + "SELECT pmid, pub_year, title, abstract, body, origin, citation_count FROM r WHERE rn = 1",
     "version_history": _UPSERT + "SELECT pmid, count(*) AS n_versions, max(seq) AS last_seq FROM r WHERE txt GROUP BY pmid",
-    "upsert_partial": f"""WITH b AS (SELECT DISTINCT pmid, pub_year, seq FROM document_versions WHERE seq % {UPDATES_EVERY} = 0 AND seq % 2 = 0),
+    "upsert_partial": """WITH b AS (SELECT DISTINCT pmid, pub_year, seq FROM document_versions WHERE seq % 2 = 0),
 l AS (SELECT pmid, arg_max(seq % 1000, seq) AS c, arg_max(CASE WHEN seq % 3 = 0 THEN pub_year END, CASE WHEN seq % 3 = 0 THEN seq END) AS y FROM b GROUP BY pmid)
 SELECT pmid, CAST(coalesce(y, pub_year) AS INTEGER) AS pub_year, title, coalesce(c, citation_count) AS citation_count, false AS changed FROM canonical_documents LEFT JOIN l USING (pmid)""",
     "upsert_noop": "SELECT false AS changed, count(*) AS n_documents, CAST(0 AS BIGINT) AS n_moved FROM canonical_documents",
@@ -567,7 +566,7 @@ SELECT pmid, CAST(coalesce(y, pub_year) AS INTEGER) AS pub_year, title, coalesce
     "reindex_incremental": _CANON + "SELECT ngram, count(*) AS n_positions, count(DISTINCT pmid) AS n_documents FROM post GROUP BY 1",
     "defragment": "WITH f AS (SELECT DISTINCT frag_id, lower(trim(ngram)) AS ngram, data FROM fragmented_shard), x AS (SELECT ngram, unnest(data) AS x FROM f), q AS (SELECT ngram, x.pmid AS pmid, unnest(x.pos) AS pos FROM x) SELECT ngram, count(DISTINCT x.pmid) AS n_pmids, any_value(coalesce(k, 0)) AS n_positions FROM x LEFT JOIN (SELECT ngram, count(*) AS k FROM (SELECT DISTINCT * FROM q) GROUP BY ngram) USING (ngram) GROUP BY ngram",
     "delete_documents": "SELECT pmid FROM canonical_documents WHERE pmid NOT IN (10000011, 10000025)",
-    "file_anti_join": "WITH o AS (SELECT DISTINCT origin AS name FROM document_versions WHERE origin <> '') SELECT name, CASE WHEN name < 'feed22n0020' THEN 'baseline' ELSE 'update' END AS kind FROM o WHERE name NOT IN (SELECT origin FROM canonical_documents WHERE is_indexed = 1 AND pmid % 101 = 7) ORDER BY kind, name LIMIT 25",
+    "file_anti_join": "WITH o AS (SELECT DISTINCT origin AS name FROM document_versions WHERE origin <> '') SELECT name, CASE WHEN name < 'feed22n0020' THEN 'baseline' ELSE 'update' END AS kind FROM o WHERE name NOT IN (SELECT origin FROM canonical_documents WHERE is_indexed = 1) ORDER BY kind, name LIMIT 25",
     "year_windows": f"WITH w AS (SELECT * FROM {_values(WORK_YEARS, 'first, last, step')}), s AS (SELECT first, last, step, CAST(unnest(CASE WHEN step IS NULL THEN [first] WHEN first > last THEN [NULL] ELSE range(first, last + 1, step) END) AS INTEGER) AS lo FROM w) SELECT first, last, step, lo, CASE WHEN lo IS NULL THEN NULL WHEN step IS NULL THEN last ELSE least(lo + step - 1, last) END AS hi FROM s",
     "scorer_inputs": f"WITH {_DOCS} SELECT 'tyvi1' AS a_term, 'older adults' AS b_term, '[' || coalesce(string_agg('''' || pmid || '''', ', ' ORDER BY pmid), '') || ']' AS ab_pmid_intersection FROM docs WHERE yr BETWEEN 2015 AND 2018 AND {_holds('tyvi1')} AND {_holds('older adults')} UNION ALL SELECT 'vimi9', 'usual care', '[''3'', ''5'']'",
     "parse_results": f"SELECT * REPLACE (CAST(score AS DOUBLE) AS score) FROM {_values(_RES, _RES_COLUMNS)}",
