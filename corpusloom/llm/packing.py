@@ -2,31 +2,38 @@
 
 Items are spread over blocks by hash; a block is packed in one task. There the largest item left is placed first and its
 undominated completions are tried, the fullest first; branches whose waste already rules out fewer containers than the
-incumbent are cut. Not all completions are tried: their enumeration ends after ENUMERATED nodes, so a container of more than
-that many small items has only its first, greedy filling, and the COMPLETIONS fullest of those found are kept; the search of a
-block ends after NODES_PER_ITEM nodes per item. The first incumbent is best-fit decreasing, and a block whose incumbent meets
-the lower bound is done.
-At most one container of a block can stay at most half full; the items of these are packed again in the next round, until
-one block holds all of them.
+incumbent are cut. The first incumbent is best-fit decreasing, and a block whose incumbent meets the lower bound is done.
+Three bounds keep the search short, each a parameter that None lifts: completions kept of one container, nodes of their
+enumeration, and nodes of the search per item. Without bounds the search of a block is exhaustive and its result optimal.
+
+The emptiest container of each block, unless it is nearly full, is packed again in the next round, until one block holds
+all items. No other container of a block is at most half full. A block needs enough items for several containers. Where the items of a round are so small
+that it would not have them, they are first put together into bundles that stay well below a container and travel as one
+item from then on, so every round leaves a small part of its tokens only.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
 
-#: Items of a block; completions kept of one container; nodes of their enumeration; nodes of the search per item.
+#: Defaults: items of a block; completions kept of one container; nodes of their enumeration; nodes of the search per item.
 BLOCK_ITEMS = 2000
 COMPLETIONS = 8
-ENUMERATED = 60
+ENUMERATED = 200
 NODES_PER_ITEM = 2
+#: Containers that a block's items should fill at least; a container is nearly full if less than this part is free; items of which bundles are made in one task.
+BLOCK_CONTAINERS = 4
+NEARLY_FULL = 16
+BUNDLED_ITEMS = 50_000
 #: Limits of one call; more are an error.
 MAX_LIMITS = 1000
 
@@ -76,8 +83,12 @@ def dominates(a: list[int], b: list[int]) -> bool:
     return True
 
 
-def completions(sizes: list[int], room: int) -> list[list[int]]:
-    """Undominated sets of the ascending sizes that fit into the room, the fullest first, within ENUMERATED and COMPLETIONS."""
+def completions(sizes: list[int], room: int, kept_most: int | None = COMPLETIONS, enumerated: int | None = ENUMERATED) -> list[list[int]]:
+    """Undominated sets of the ascending sizes that fit into the room, the fullest first.
+
+    With bounds the enumeration takes at most so many nodes, ends at a set that fills the room, and the fullest so many
+    sets are kept. None lifts a bound; with enumerated None all sets are looked at.
+    """
     found: list[tuple[int, list[int]]] = []
     nodes = 0
 
@@ -86,11 +97,11 @@ def completions(sizes: list[int], room: int) -> list[list[int]]:
         i = bisect_right(sizes, left, 0, hi)
         if not i:
             found.append((left, chosen))
-            return not left  # nothing is better than a full container
+            return not left and (enumerated is not None or len(chosen) == 1)  # one item that fills the room dominates all sets
         while i > 0:
             nodes += 1
             s = sizes[i - 1]
-            if go(i - 1, left - s, [*chosen, s]) or nodes > ENUMERATED:
+            if go(i - 1, left - s, [*chosen, s]) or enumerated is not None and nodes > enumerated:
                 return True
             i = bisect_left(sizes, s, 0, i)
         return False
@@ -101,25 +112,28 @@ def completions(sizes: list[int], room: int) -> list[list[int]]:
     for _, c in found:
         if not any(dominates(k, c) for k in kept):
             kept.append(c)
-            if len(kept) == COMPLETIONS:
+            if len(kept) == kept_most:
                 break
     return kept
 
 
-def bin_completion(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Containers of at most the capacity that together hold all sizes, each positive and at most the capacity."""
+def bin_completion(sizes: list[int], capacity: int, kept_most: int | None = COMPLETIONS, enumerated: int | None = ENUMERATED, nodes_per_item: int | None = NODES_PER_ITEM) -> list[list[int]]:
+    """Containers of at most the capacity that together hold all sizes, each positive and at most the capacity.
+
+    None lifts a bound of the search; without any the number of containers is the least possible.
+    """
     if not sizes:
         return []
     best = best_fit_decreasing(sizes, capacity)
     bound = lower_bound(sizes, capacity)
-    total, budget = sum(sizes), NODES_PER_ITEM * len(sizes)
+    total, budget = sum(sizes), float("inf") if nodes_per_item is None else nodes_per_item * len(sizes)
     left, waste = sorted(sizes), 0
     stack: list[tuple[int, list[list[int]], int, int]] = []  # (largest item, its completions, the next one, waste before)
     bins: list[list[int]] = []
     while len(best) > bound and budget > 0:
         if left:
             top = left.pop()
-            stack.append((top, completions(left, capacity - top), 0, waste))
+            stack.append((top, completions(left, capacity - top, kept_most, enumerated), 0, waste))
         elif len(bins) < len(best):
             best = [list(b) for b in bins]
         budget -= 1
@@ -143,7 +157,7 @@ def bin_completion(sizes: list[int], capacity: int) -> list[list[int]]:
     return best
 
 
-def _pack_block(round_no: int):
+def _pack_block(round_no: int, search: dict[str, int | None]):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         name, block = key[0].as_py(), key[1].as_py()
         capacity = t["capacity"][0].as_py()
@@ -151,54 +165,87 @@ def _pack_block(round_no: int):
         by_size = defaultdict(list)
         for i in np.lexsort((uid, size))[::-1]:
             by_size[int(size[i])].append(i)
-        at, label, used = [], [], []
-        for k, b in enumerate(bin_completion(size.tolist(), capacity)):
-            fill = sum(b)
+        at, label, open_ = [], [], []
+        for k, b in enumerate(sorted(bin_completion(size.tolist(), capacity, **search), key=sum)):
             for s in b:
                 at.append(by_size[s].pop())
                 label.append(f"r{round_no}b{block}c{k}")
-                used.append(fill)
-        return pa.table({"limit_name": [name] * len(at), "capacity": [capacity] * len(at), "uid": uid[at], "part_no": t["part_no"].to_numpy()[at], "size": size[at], "container_id": label, "fill": used})
+                open_.append(k == 0 and sum(b) * NEARLY_FULL <= capacity * (NEARLY_FULL - 1))
+        return pa.table({"limit_name": [name] * len(at), "capacity": [capacity] * len(at), "uid": uid[at], "size": size[at], "container_id": label, "open": open_})
 
     return run
 
 
-def pack(items: DataFrame, key: str, size: str, limits: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def _bundled(units: DataFrame, limits: dict[str, int], block_items: int, round_no: int) -> tuple[DataFrame, DataFrame]:
+    """(units, members): the units of these limits, small ones put together, and (limit_name, bundle, uid) of what is in a bundle.
+
+    A unit is small below capacity / k, where k is the number of items of a block divided by BLOCK_CONTAINERS; a bundle is
+    closed when it reaches that size, so it stays below twice of it. All is done by running sums over BUNDLED_ITEMS units.
+    """
+    k = max(2, block_items // BLOCK_CONTAINERS)
+    small = F.col("limit_name").isin(list(limits)) & (F.col("size") * k < F.col("capacity"))
+    groups = F.create_map(*[F.lit(x) for name, n in limits.items() for x in (name, -(-n // BUNDLED_ITEMS))])
+    crumbs = units.where(small).withColumn("part", F.pmod(F.xxhash64("uid", F.lit(-1 - round_no)), groups[F.col("limit_name")]))
+    before = F.sum("size").over(Window.partitionBy("limit_name", "part").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1))
+    closed = F.floor(F.coalesce(before, F.lit(0)) / F.ceil(F.col("capacity") / k)).cast("long")
+    placed = materialize(crumbs.withColumn("bundle", F.concat(F.lit(f"b{round_no}p"), "part", F.lit("n"), closed)), f"bundles-{round_no}")
+    sums = placed.groupBy("limit_name", "capacity", F.col("bundle").alias("uid")).agg(F.sum("size").alias("size"))
+    return units.where(~small).unionByName(sums), placed.select("limit_name", "bundle", "uid")
+
+
+def pack(
+    items: DataFrame, key: str, size: str, limits: DataFrame, block_items: int = BLOCK_ITEMS, completions: int | None = COMPLETIONS, enumerated: int | None = ENUMERATED, nodes_per_item: int | None = NODES_PER_ITEM
+) -> DataFrame:
     """(limit_name, container_id, key, part_no, token_start, token_end, n_tokens) for every item and limit.
 
     limits: (limit_name, max_tokens), a few rows. An item above the limit is split: full containers of its own, then a
     rest that is packed as any other; only such items have more than one part. Each row of items is an item, also if its
     key is NULL or repeated. Items of size 0 or NULL take no room: one row with a NULL container. Limits that are NULL or
     below 1 are left out. Without items or limits there are no rows. The blocks hash a row number of the written items,
-    so no key can fill a block. Other columns are not read.
+    so no key can fill a block. completions, enumerated and nodes_per_item bound the search in a block; None lifts a
+    bound, and without any a block's containers are as few as possible. A block has 4 * BLOCK_CONTAINERS items at least.
+    Other columns are not read.
     """
+    if block_items < 1 or any(x is not None and x < 1 for x in (completions, enumerated, nodes_per_item)):
+        raise ValueError("block_items and the bounds of the search must be positive")
+    block_items = max(block_items, 4 * BLOCK_CONTAINERS)
     spark = items.sparkSession
-    whole = materialize(items.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("total")), "items")
+    search = {"kept_most": completions, "enumerated": enumerated, "nodes_per_item": nodes_per_item}
+    whole = materialize(items.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("total")), "items")
     caps = limits.where("max_tokens >= 1").select("limit_name", F.col("max_tokens").cast("long")).distinct().limit(MAX_LIMITS + 1).collect()
     if len(caps) > MAX_LIMITS:
         raise ValueError(f"more than {MAX_LIMITS} limits")
     settings = F.array(*[F.struct(F.lit(n).alias("limit_name"), F.lit(c).cast("long").alias("capacity")) for n, c in caps]) if caps else F.array().cast("array<struct<limit_name:string,capacity:bigint>>")
-    each = whole.select("*", F.explode(settings).alias("x")).select("uid", "key", "total", "x.limit_name", "x.capacity")
-    full = each.where("total > 0").select("limit_name", "capacity", "uid", F.explode(F.sequence(F.lit(0), F.expr("(total - 1) div capacity"))).alias("part_no"), "total")
+    each = whole.select("*", F.explode(settings).alias("x")).select("id", "key", "total", "x.limit_name", "x.capacity")
+    full = each.where("total > 0").select("limit_name", "capacity", "id", F.explode(F.sequence(F.lit(0), F.expr("(total - 1) div capacity"))).alias("part_no"), "key", "total")
     sized = full.withColumn("size", F.least(F.col("capacity"), F.col("total") - F.col("part_no") * F.col("capacity")))
-    done = [sized.where("size = capacity").select("limit_name", "capacity", "uid", "part_no", "size", F.concat(F.lit("d"), F.col("uid"), F.lit("p"), F.col("part_no")).alias("container_id"))]
-    todo = materialize(sized.where("size < capacity").select("limit_name", "capacity", "uid", "part_no", "size"), "rests")
-    schema = "limit_name string, capacity long, uid long, part_no long, size long, container_id string, fill long"
-    round_no = 0
-    while n := todo.groupBy("limit_name").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]:
-        blocks = -(-n // block_items)
-        block = F.pmod(F.xxhash64("uid", F.lit(round_no)), F.lit(blocks)).cast("int")
-        packed = materialize(todo.withColumn("block", block).groupBy("limit_name", "block").applyInArrow(_pack_block(round_no), schema), f"packed-{round_no}")
-        again = (F.col("fill") * 2 <= F.col("capacity")) & F.lit(blocks > 1)
-        done.append(packed.where(~again).drop("fill"))
-        todo, round_no = packed.where(again).drop("container_id", "fill"), round_no + 1
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    placed = out.join(whole.select("uid", "key"), "uid").select("limit_name", "container_id", F.col("key").alias(key), "part_no", (F.col("part_no") * F.col("capacity")).alias("token_start"), (F.col("part_no") * F.col("capacity") + F.col("size")).alias("token_end"), F.col("size").alias("n_tokens"))
+    todo = materialize(sized.where("size < capacity").select("limit_name", "capacity", F.col("id").cast("string").alias("uid"), "size"), "rests")  # one rest of an item at most
+    schema = "limit_name string, capacity long, uid string, size long, container_id string, open boolean"
+    placed, bundles, round_no = [], [], 0
+    while stats := [r for r in todo.groupBy("limit_name", "capacity").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).collect()]:  # a row a limit
+        tiny = {r["limit_name"]: r["n"] for r in stats if r["n"] > block_items and r["n"] * r["capacity"] * BLOCK_CONTAINERS > block_items * r["total"]}
+        if tiny:
+            todo, members = _bundled(todo, tiny, block_items, round_no)
+            bundles.append(members)
+            todo = materialize(todo, f"units-{round_no}")
+            stats = todo.groupBy("limit_name").agg(F.count(F.lit(1)).alias("n")).collect()
+        blocks = F.create_map(*[F.lit(x) for r in stats for x in (r["limit_name"], -(-r["n"] // block_items))])[F.col("limit_name")]
+        block = F.pmod(F.xxhash64("uid", F.lit(round_no)), blocks).cast("int")
+        packed = materialize(todo.withColumn("block", block).groupBy("limit_name", "block").applyInArrow(_pack_block(round_no, search), schema), f"packed-{round_no}")
+        again = F.col("open") & (blocks > 1)
+        placed.append(packed.where(~again).select("limit_name", "uid", "container_id"))
+        todo, round_no = packed.where(again).drop("container_id", "open"), round_no + 1
+    at = reduce(DataFrame.unionByName, placed) if placed else spark.createDataFrame([], "limit_name string, uid string, container_id string")
+    for members in reversed(bundles):  # what is in a bundle is where the bundle is
+        inside = at.withColumnRenamed("uid", "bundle").join(members, ["limit_name", "bundle"]).select("limit_name", "uid", "container_id")
+        at = at.join(members.select("limit_name", F.col("bundle").alias("uid")).distinct(), ["limit_name", "uid"], "left_anti").unionByName(inside)
+    rest = at.select("limit_name", F.col("uid").try_cast("long").alias("id"), F.col("container_id").alias("own"))
+    parts = sized.join(rest, ["limit_name", "id"], "left")
+    container = F.when(F.col("size") < F.col("capacity"), F.col("own")).otherwise(F.concat(F.lit("d"), "id", F.lit("p"), "part_no"))
+    out = parts.select("limit_name", container.alias("container_id"), F.col("key").alias(key), "part_no", (F.col("part_no") * F.col("capacity")).alias("token_start"), (F.col("part_no") * F.col("capacity") + F.col("size")).alias("token_end"), F.col("size").alias("n_tokens"))
     zero = F.lit(0).cast("long")
     empty = each.where("total <= 0").select("limit_name", F.lit(None).cast("string").alias("container_id"), F.col("key").alias(key), zero.alias("part_no"), zero.alias("token_start"), zero.alias("token_end"), zero.alias("n_tokens"))
-    return placed.unionByName(empty)
+    return out.unionByName(empty)
 
 
 def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:

@@ -80,3 +80,38 @@ def test_edge_cases(spark):
     assert sum(r["copies"] * r["n_tokens"] for r in got if r["mix_plan"] == "p") == 40 and sum(r["copies"] * r["n_tokens"] for r in got if r["mix_plan"] == "q") == 20
     assert M.mix(docs(spark, []), "doc", targets(spark, plan)).collect() == [] and M.mix(docs(spark, odd), "doc", targets(spark, [])).collect() == []
     assert M.share_report(M.mix(docs(spark, []), "doc", targets(spark, plan)), targets(spark, plan)).count() == 6
+
+
+def test_rates_are_tilted_and_keep_the_number_of_copies(spark):
+    hist = spark.createDataFrame([("s", 10, 100), ("s", 50, 20), ("s", 1000, 3), ("t", 7, 50), ("t", 300, 5)], "source string, n_tokens long, docs long")
+    plans = [{"mix_plan": "p", "source": s, "docs": d, "tokens": t, "wanted": t * w, "max_repeats": 4} for s, d, t, w in (("s", 123, 5000, 0.4), ("t", 55, 1850, 2.5))]
+    dual = M.balance(hist, plans)
+    import math
+
+    rate = {(r["source"], r["n_tokens"]): min(4.0, math.exp(dual["p", r["source"]][0] + dual["p", r["source"]][1] * r["n_tokens"] / dual["p", r["source"]][2])) for r in hist.collect()}
+    docs = {(r["source"], r["n_tokens"]): r["docs"] for r in hist.collect()}
+    for s, want in (("s", 2000.0), ("t", 4625.0)):
+        assert sum(rate[k] * docs[k] * k[1] for k in rate if k[0] == s) == pytest.approx(want, rel=1e-6)
+    assert sum(rate[k] * docs[k] for k in rate) == pytest.approx(0.4 * 123 + 2.5 * 55, rel=1e-6)
+    assert rate["s", 10] > rate["s", 1000] * 1.5 and rate["t", 300] > rate["t", 7] * 1.1  # fewer long ones of the source above its share, more of the other
+
+
+def test_one_source_of_many_lengths_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(M, "BUCKET_DOCS", 50)
+    monkeypatch.setattr(M, "SPAN", 16)
+    monkeypatch.setattr(M, "REPAIRED", 2)
+    data = [(i, "one", 1 + i * i % 997) for i in range(3000)] + [(5000 + i, "two", 100) for i in range(700)]
+    t = targets(spark, [("p", "one", 0.3, 2), ("p", "two", 0.7, 9)])
+    got = M.mix(docs(spark, data), "doc", t).collect()
+    of = defaultdict(int)
+    for r in got:
+        of[r["source"]] += r["copies"] * r["n_tokens"]
+        assert 1 <= r["copies"] <= (2 if r["source"] == "one" else 9)
+    total = sum(of.values())
+    assert of["one"] / total == pytest.approx(0.3, abs=1e-4) and of["two"] == 630_000
+    every = {k: [r["copies"] for r in got if r["source"] == k] for k in ("one", "two")}
+    assert len(every["two"]) == 700 and set(every["two"]) == {9}
+    by_length = defaultdict(set)
+    for i, s, n in data:
+        by_length[s, n].add(next((r["copies"] for r in got if r["doc"] == i), 0)) if s == "one" and i < 300 else None
+    assert all(max(v) - min(v) <= 1 for v in by_length.values())

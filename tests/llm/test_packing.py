@@ -102,3 +102,40 @@ def test_empty(spark):
     assert P.pack(items, "doc", "n", limits).collect() == []
     some = spark.createDataFrame([(1, 5)], "doc long, n long")
     assert P.pack(some, "doc", "n", limits.limit(0)).collect() == []
+
+
+def test_blocks_that_fill_less_than_a_container_end(spark):
+    items = spark.createDataFrame([(i, 1) for i in range(40)], "doc long, n long")
+    limits = spark.createDataFrame([("l", 100), ("m", 7)], "limit_name string, max_tokens int")
+    got = P.pack(items, "doc", "n", limits, block_items=10).collect()
+    assert len(got) == 80 and {x["container_id"] for x in got if x["limit_name"] == "l"}.__len__() == 1
+    fill = Counter(x["container_id"] for x in got if x["limit_name"] == "m")
+    assert max(fill.values()) <= 7 and len(fill) <= 8
+
+
+def test_containers_of_thousands_of_items(spark):
+    r = random.Random(8)
+    data = [(i, r.randint(1, 8)) for i in range(6000)] + [(9000 + i, 3000) for i in range(3)]
+    items = spark.createDataFrame(data, "doc long, n long")
+    limits = spark.createDataFrame([("l", 4096)], "limit_name string, max_tokens int")
+    got = P.pack(items, "doc", "n", limits, block_items=100).collect()
+    fill = Counter()
+    for x in got:
+        fill[x["container_id"]] += x["n_tokens"]
+    assert sorted(x["doc"] for x in got) == sorted(i for i, _ in data) and max(fill.values()) <= 4096
+    assert len(fill) <= -(-sum(n for _, n in data) // 4096) + 1
+
+
+def test_without_bounds_a_block_is_optimal(spark):
+    r = random.Random(4)
+    for _ in range(6):  # triplets that fill their containers
+        sizes = [x for _ in range(12) for a in [r.randint(380, 490)] for b in [r.randint(250, (1000 - a) // 2)] for x in (a, b, 1000 - a - b)]
+        assert len(P.bin_completion(sizes, 1000, None, None, None)) == 12
+    for _ in range(40):
+        sizes = [r.randint(3, 30) for _ in range(9)]
+        assert len(P.bin_completion(sizes, 40, None, None, None)) == optimum(sizes, 40)
+    items = spark.createDataFrame(list(enumerate([6, 6, 5, 5, 4, 4, 3, 3, 2, 2])), "doc long, n long")
+    limits = spark.createDataFrame([("l", 10)], "limit_name string, max_tokens int")
+    assert P.pack(items, "doc", "n", limits, 2000, None, None, None).select("container_id").distinct().count() == 4
+    with pytest.raises(ValueError):
+        P.pack(items, "doc", "n", limits, completions=0)
