@@ -45,17 +45,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.pair_associations(_versions(spark, d), "uuid", "abstract", cooccurrence.asked_pairs(table(spark, d, "kinderminer_jobs"))).where(hit).select("term_1", "term_2")
 
 
-def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+def p5_counts(spark: SparkSession, d: str, **how: int) -> DataFrame:
     """Occurrences and records of every word of the abstracts and every n-gram of the fragments, with marks."""
     docs = _versions(spark, d)
     postings = fragment_postings(table(spark, d, "fragmented_shard"), with_pos=True).where(F.col("pmid").isNotNull())
     ngrams = postings.select(F.lit("ngram").alias("field_name"), F.col("ngram").alias("term"), F.col("pmid").alias("record"), F.greatest(F.size("pos"), F.lit(1)).cast("long").alias("occurrences"), F.lit(1).cast("long").alias("records"))
-    counts = frequencies.term_frequencies(frequencies.count_words(docs, "abstract", "abstract").unionByName(ngrams))
+    counts = frequencies.term_frequencies(frequencies.count_words(docs, "abstract", "abstract").unionByName(ngrams), **how)
     n_docs = table(spark, d, "document_versions").select("uuid").distinct().count()
     n_pmids = table(spark, d, "fragmented_shard").select(F.explode("data").alias("x")).select("x.pmid").where("pmid IS NOT NULL").distinct().count()
     return frequencies.marked(counts, {"abstract": 2, "ngram": 2}, {"abstract": -(-56 * n_docs // 100), "ngram": -(-n_pmids // 4)})
 
 
+def p5_counts_deep(spark: SparkSession, d: str) -> DataFrame:
+    """p5_counts by several levels of splits: the leaves and digits of a far larger collection's proportions."""
+    return p5_counts(spark, d, leaf_bytes=8_000, max_bits=4)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms that are too rare or too common."""
     return p5_counts(spark, d).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
@@ -93,7 +98,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", limits)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_counts, p7_containers, p7_fill, p8_mix, p8_shares, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_counts, p5_counts_deep, p7_containers, p7_fill, p8_mix, p8_shares, p9_pieces)}
 
 _W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _ALL_TEXT = _W.format("coalesce(title, '') || ' ' || coalesce(abstract, '')")
@@ -133,4 +138,5 @@ SELECT DISTINCT p1 AS pmid_1, p2 AS pmid_2 FROM k WHERE 10 * k >= 6 * (n1 + n2 -
     "p4_pairs": _P4 + "SELECT *, round(CASE WHEN n_1 > 0 AND n_2 > 0 THEN together * CAST(n_docs AS DOUBLE) / (n_1 * n_2) END, 6) AS lift FROM total",
     "p5_found": _P5 + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p5_counts": _P5 + "SELECT * FROM m",
+    "p5_counts_deep": _P5 + "SELECT * FROM m",
 }

@@ -41,7 +41,7 @@ def test_dense_and_sparse_agree():
     for density in (0.02, 0.9):
         x = r.random((300, 40)) < density
         rec, item = np.nonzero(x)
-        i, j, n = C.gram(rec, item, 40)
+        ((i, j, n),) = C.gram(rec, item, 40)
         want = np.triu(x.astype(int).T @ x.astype(int), 1)
         got = np.zeros((40, 40), int)
         got[i, j] = n
@@ -72,3 +72,29 @@ def test_associations(spark):
     assert got["gamma", "nothing"] == (7, 4, 0, 0, None)
     assert C.pair_associations(df, "id", "body", pairs.limit(0)).collect() == []
     assert C.pair_associations(df.limit(0), "id", "body", pairs).count() == 3
+
+
+def test_only_blocks_that_are_too_large_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(C, "CELLS", 1000)  # of the driver's closure, which the tasks get
+    data = [("giant", f"i{k}") for k in range(300)] + [(f"r{k % 40}", f"i{k % 97}") for k in range(800)]
+    df = spark.createDataFrame(data, "basket string, thing string")
+    single, both = C.cooccurrence(df, "basket", "thing", block_rows=100, block_pairs=5000)
+    want = brute(data)
+    assert sorted(map(tuple, both.collect())) == want[1] and sorted(map(tuple, single.collect())) == want[0]
+
+
+def test_parts_of_a_product_add_up(monkeypatch):
+    monkeypatch.setattr(C, "CELLS", 500)
+    r = np.random.default_rng(1)
+    rec, item = np.unique(np.c_[r.integers(0, 30, 6000), r.integers(0, 4000, 6000)], axis=0).T
+    side = (item % 2).astype(np.int8)
+    for s in (None, side):
+        want, got, parts = Counter(), Counter(), 0
+        for x in np.unique(rec):
+            some = item[rec == x]
+            want.update((a, b) for a, b in itertools.combinations(sorted(some.tolist()), 2) if s is None or a % 2 != b % 2)
+        for i, j, n in C.gram(rec, item, 4000, s):
+            parts += 1
+            for a, b, c in zip(i.tolist(), j.tolist(), n.tolist()):
+                got[a, b] += c
+        assert got == want and parts > 1

@@ -63,3 +63,41 @@ def test_marks(spark):
     df = spark.createDataFrame([("f", "a", 1, 2), ("f", "b", 9, 9), ("f", "c", 5, 5), ("g", "a", 1, 1)], "field_name string, term string, occurrences long, records long")
     assert [r["mark"] for r in Q.marked(df, {"f": 2}, {"f": 9}).orderBy("field_name", "term").collect()] == ["rare", "common", None, None]
     assert Q.marked(df, {"f": 9}, {"f": 1}).where("mark = 'common'").count() == 0
+
+
+def test_leaves_that_spark_reads(spark, monkeypatch):
+    monkeypatch.setattr(Q, "_local", lambda path: None)  # as if the shared folder were an object store
+    data = pairs(3)
+    assert rows(Q.term_frequencies(spark.createDataFrame(data, Q.SPILL_SCHEMA), 2500, 4)) == brute(data)
+
+
+def test_levels_and_writers(spark, monkeypatch):
+    spill, levels = Q._spill, []
+
+    def seen(rows, level, bits, by_record):
+        parts = spill(rows, level, bits, by_record)
+        levels.append((level, bits, {d: n for d, (_, n) in parts.items()}))
+        return parts
+
+    monkeypatch.setattr(Q, "_spill", seen)
+    data = [("f", "hot", i, 1, 1) for i in range(6000)] + [("f", f"t{i}", None, i + 1, 1) for i in range(3000)] + [("f", "same", 1, 1, 1)] * 500
+    df = spark.createDataFrame(data, Q.SPILL_SCHEMA)
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in Q.term_frequencies(df, 4000, 4).collect()}
+    assert got["hot"] == (6000, 6000) and got["same"] == (500, 1) and got["t7"] == (8, 1) and len(got) == 3002
+    assert len(levels) > 2 and levels[0][:2] == (0, 4)  # term, term again, then the record of the hot term's part
+    with pytest.raises(ValueError):
+        Q.term_frequencies(df, 0)
+
+
+def test_rows_without_a_record_are_written_by_many_tasks(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.createDataFrame([("f", f"t{i}", None, 1, 1) for i in range(4000)], Q.SPILL_SCHEMA).withColumn("part", F.lit(""))
+        parts = Q._spill(df, 0, 4, F.lit(False))
+        import glob
+
+        files = {d: len(glob.glob(Q._local(path) + "/*.parquet")) for d, (path, _) in parts.items()}
+        assert len(files) == 16 and sum(files.values()) > 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
