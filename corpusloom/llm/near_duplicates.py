@@ -12,8 +12,9 @@ missing from the other text.
   partition, more than tau' would be missing in all; so in some partition at most T_i are, and of any T_i + 1 of its bits
   one is in the other text. The thresholds come from a dynamic program over the estimated number of candidates: the
   frequencies of the bits probed, of which neighbours find mostly the same texts.
-* The T_i + 1 rarest bits of each partition are probed in the index of all bits of all texts left; the size bounds are
-  part of the join. Candidates are verified on their whole sets.
+* The T_i + 1 rarest bits of each partition are probed in the index of all bits of all texts left. Bits of many texts are
+  indexed by size too, so a probe reads only texts of sizes that fit. Candidates are compared by the parities of their bits,
+  which differ in no more places than the sets do, and those that pass on their whole sets.
 
 No pair is lost: nothing is sampled or capped, and every step only uses bounds that hold for all pairs.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import words
+from corpusloom.functions.text import WORD
 from corpusloom.session import materialize
 
 #: Neighbouring bits in a partition; bits whose thresholds are found together; the share of texts that must leave in a round for another one to be worth it.
@@ -36,6 +37,12 @@ GROUP = 3
 SPAN = 1500
 WORTH = 0.05
 MAX_ROUNDS = 6
+#: Owners from which on a bit is indexed by size, and the number of size classes from a size to the largest that fits.
+HOT = 200
+CLASSES = 4
+#: Rows that a task works on at once; words of 64 bits of a text's parities.
+ROWS = 300_000
+PARITIES = 4
 
 
 def shingles(tokens: Column, n: int) -> Column:
@@ -50,115 +57,209 @@ def text_classes(docs: DataFrame, key: str, text: Column, n: int, min_words: int
     Texts of fewer than min_words words and NULL keys are left out. cid is a hash of the words; a second hash proves that
     no two texts share one, otherwise another seed is taken.
     """
-    tokens = docs.select(F.col(key).alias("key"), words(text).alias("w")).where(F.col("key").isNotNull() & (F.size("w") >= max(min_words, n)))
+    texts = docs.select(F.col(key).alias("key"), F.btrim(F.regexp_replace(F.lower(text), rf"[^{WORD[1:-2]}]+", " ")).alias("t"))  # the words, joined by blanks
+    texts = texts.where(F.col("key").isNotNull() & (F.col("t") != "") & (F.length("t") - F.length(F.replace("t", F.lit(" "))) + 1 >= max(min_words, n)))
     for seed in range(8):
-        members = tokens.select("key", "w", F.xxhash64("w", F.lit(seed)).alias("cid"), F.xxhash64(F.lit(-1 - seed), "w").alias("check"))
-        classes = members.groupBy("cid").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("w").alias("w"))
-        classes = materialize(classes.select("cid", F.col("lo").eqNullSafe(F.col("hi")).alias("sound"), shingles(F.col("w"), n).alias("bits")), "classes")
+        found = materialize(texts.select("key", "t", F.xxhash64("t", F.lit(seed)).alias("cid"), F.xxhash64(F.lit(-1 - seed), "t").alias("check")), "texts")
+        classes = found.groupBy("cid").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("t").alias("t"))
+        classes = materialize(classes.select("cid", F.col("lo").eqNullSafe(F.col("hi")).alias("sound"), F.get(F.transform(F.array(F.split("t", " ")), lambda w: shingles(w, n)), 0).alias("bits")), "classes")  # the words are bound once
         if classes.where(~F.col("sound")).isEmpty():
-            return materialize(members.select("key", "cid").distinct(), "members"), classes.select("cid", F.size("bits").alias("a"), "bits")
+            return materialize(found.select("key", "cid").distinct(), "members"), classes.select("cid", F.size("bits").alias("a"), "bits")
     raise RuntimeError("no seed keeps the texts' hashes apart")
 
 
-def _live(texts: DataFrame, p: int, q: int) -> DataFrame:
-    """(cid, a, pos, bits, df): the bits that at least two texts have, of the texts that keep enough of them for any pair.
-
-    The bits are shuffled once: counting the owners and joining the counts back use the same exchange. a and pos travel
-    in one number.
-    """
-    flat = texts.select("cid", "a", F.posexplode("bits").alias("pos", "bit")).select("cid", (F.shiftleft(F.col("a").cast("long"), 32) + F.col("pos")).alias("code"), "bit").repartition("bit")
-    df = flat.groupBy("bit").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    kept = flat.join(df.hint("merge"), "bit").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("code", "bit", "df"))).alias("x"))
-    kept = kept.withColumn("a", F.shiftright(F.element_at("x.code", 1), 32).cast("int")).where(F.size("x") * q >= F.col("a") * p)
-    return kept.select("cid", "a", F.transform("x.code", lambda c: c.bitwiseAND(0xFFFFFFFF).cast("int")).alias("pos"), F.col("x.bit").alias("bits"), F.col("x.df").alias("df"))
+def allocate(pos: np.ndarray, df: np.ndarray, cover: int, group: int = GROUP) -> np.ndarray:
+    """allocate_all for one text; the indices of the bits to probe."""
+    return np.flatnonzero(allocate_all(pos, df, np.array([0, len(df)]), np.array([cover]), group))
 
 
-def allocate(pos: np.ndarray, df: np.ndarray, cover: int, group: int = GROUP) -> np.ndarray:
-    """Indices of the bits to probe: sum(T_i + 1) = cover of them at the least estimated number of candidates.
+def allocate_all(pos: np.ndarray, df: np.ndarray, first: np.ndarray, cover: np.ndarray, group: int = GROUP) -> np.ndarray:
+    """Whether each bit is probed: for each text sum(T_i + 1) = cover bits, at the least estimated number of candidates.
 
+    The bits of text k are those from first[k] to before first[k + 1], in order of pos; 0 <= cover[k] <= their number.
     Partitions are runs of up to `group` neighbouring bits. Very long texts are cut into chunks of SPAN bits; a chunk has to
     cover as many errors as it has of the `cover` rarest bits, so time and memory stay in proportion to the length.
     """
-    if len(df) <= SPAN:
-        return _allocate(pos, df, cover, group)
-    share = np.bincount(np.argsort(df, kind="stable")[:cover] // SPAN, minlength=-(-len(df) // SPAN))
-    parts = [s * SPAN + _allocate(pos[s * SPAN : (s + 1) * SPAN], df[s * SPAN : (s + 1) * SPAN], int(k), group) for s, k in enumerate(share) if k]
-    return np.concatenate(parts)
-
-
-def _allocate(pos: np.ndarray, df: np.ndarray, cover: int, group: int) -> np.ndarray:
+    size = np.diff(first)
+    if size.max(initial=0) > SPAN:
+        text = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((df, text))
+        rare = np.empty(len(df), np.int64)
+        rare[order] = (np.arange(len(df)) - first[text] < cover[text]).astype(np.int64)
+        starts = np.concatenate([np.arange(s, e, SPAN) for s, e in zip(first[:-1], first[1:]) if e > s])
+        return _allocate(pos, df, np.r_[starts, len(df)], np.add.reduceat(rare, starts), group)
+    return _allocate(pos, df, first, cover, group)
+
+
+def _allocate(pos: np.ndarray, df: np.ndarray, first: np.ndarray, cover: np.ndarray, group: int) -> np.ndarray:
     """Probing k bits of a partition costs the sum of their frequencies in index rows read and, as neighbours find the same
-    texts, about the largest frequency in candidates to verify; a dynamic program over the partitions minimises the sum.
+    texts, about the largest frequency in candidates to verify; a dynamic program over the partitions minimises the sum,
+    for many texts of similar length at once.
     """
-    n = len(df)
-    cut = np.flatnonzero(np.diff(pos) != 1) + 1
-    starts = np.concatenate([np.arange(s, e, group) for s, e in zip(np.r_[0, cut], np.r_[cut, n])])
-    size = np.diff(np.r_[starts, n])
-    order = np.lexsort((df, np.repeat(np.arange(len(starts)), size)))  # by partition, then by frequency
-    own = df[order].tolist()
-    cost = np.full((group + 1, cover + 1), np.inf)  # row k: the best after probing k bits of the partition
-    taken = np.empty((len(starts), cover + 1), np.int8)
-    best = cost[0].copy()
-    best[0] = 0.0
-    for g, (s, m) in enumerate(zip(starts.tolist(), size.tolist())):
-        cost[0] = best
-        total = 0.0
-        for k in range(1, min(m, cover) + 1):
-            total += own[s + k - 1]
-            np.add(best[: cover + 1 - k], total + 4.0 * own[s + k - 1], out=cost[k, k:])
-        if m < group:
-            cost[m + 1 :] = np.inf
-        taken[g] = cost.argmin(0)
-        best = cost.min(0)
-    out, left = [], cover
-    for g in range(len(starts) - 1, -1, -1):
-        k = int(taken[g, left])
-        out.append(order[starts[g] : starts[g] + k])
-        left -= k
-    return np.concatenate(out)
-
-
-def _probe(p: int, q: int):
+    n, size = len(df), np.diff(first)
+    text = np.repeat(np.arange(len(size)), size)
+    at = np.arange(n)
+    begins = np.r_[True, (text[1:] != text[:-1]) | (np.diff(pos) != 1)] if n else np.zeros(0, bool)
+    in_run = at - np.maximum.accumulate(np.where(begins, at, 0))
+    heads = np.flatnonzero(begins | (in_run % group == 0))  # first bits of partitions
+    part = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, n]))
+    order = np.lexsort((df, part))  # by partition, then by frequency
+    own, rank = df[order].astype(float), at - heads[part]
+    total = np.cumsum(own)
+    before = np.r_[0.0, total][heads[part]]
+    cost = np.full((len(heads), group + 1), np.inf)
+    cost[:, 0] = 0.0
+    cost[part, rank + 1] = total - before + 4.0 * own
+    parts_of = np.bincount(text[heads], minlength=len(size)) if n else np.zeros(len(size), np.int64)
+    from_part = np.r_[0, np.cumsum(parts_of)]
+    probed = np.zeros(len(heads), np.int64)
+    by_length = np.argsort(parts_of, kind="stable")
+    lo = 0
+    while lo < len(by_length):
+        some = by_length[lo : lo + 256]
+        lo += 256
+        some = some[cover[some] > 0]
+        if not len(some):
+            continue
+        most, steps, width = int(cover[some].max()), int(parts_of[some].max()), len(some)
+        padded = np.zeros((width, steps, group + 1))
+        padded[:, :, 1:] = np.inf
+        for i, t in enumerate(some):
+            padded[i, : parts_of[t]] = cost[from_part[t] : from_part[t + 1]]
+        best = np.full((width, most + 1), np.inf)  # the least cost of probing so many bits so far
+        best[:, 0] = 0.0
+        taken = np.zeros((steps, width, most + 1), np.int8)
+        for g in range(steps):
+            now = best.copy()
+            for k in range(1, min(group, most) + 1):
+                other = best[:, : most + 1 - k] + padded[:, g, k, None]
+                better = other < now[:, k:]
+                np.copyto(taken[g][:, k:], k, where=better)
+                np.copyto(now[:, k:], other, where=better)
+            best = now
+        left, rows = cover[some].astype(np.int64).copy(), np.arange(width)
+        for g in range(steps - 1, -1, -1):
+            k = taken[g, rows, left].astype(np.int64)
+            real = g < parts_of[some]
+            probed[from_part[some[real]] + g] = k[real]
+            left -= k
+    out = np.zeros(n, bool)
+    out[order] = rank < probed[part]
+    return out
+
+
+def _keyed(bits: np.ndarray, size_class: np.ndarray) -> np.ndarray:
+    """Keys of a bit at a size; two that happen to be equal cost a candidate only."""
+    with np.errstate(over="ignore"):
+        return (bits ^ (bits >> 29)) * np.int64(-7046029254386353131) + (size_class.astype(np.int64) + 1) * np.int64(-4417276706812531889)
+
+
+def _size_class(a: np.ndarray, p: int, q: int) -> np.ndarray:
+    return np.floor(np.log(a) * (CLASSES / np.log(q / p))).astype(np.int64) if p < q else a.astype(np.int64)
+
+
+def _texts(cid: np.ndarray, code: np.ndarray, bit: np.ndarray, df: np.ndarray, p: int, q: int, hot_from: int) -> pa.RecordBatch:
+    """Whole texts, a row (cid, pos of a) for each bit: (cid, a, pos, bits, keys, probes, parities) of those that keep enough bits for a pair."""
+    order = np.lexsort((code, cid))
+    cid, code, bit, df = cid[order], code[order], bit[order], df[order]
+    starts = np.flatnonzero(np.r_[True, cid[1:] != cid[:-1]])
+    size, a = np.diff(np.r_[starts, len(cid)]), code[starts] >> 32
+    stays = size * q >= a * p
+    keep = np.repeat(stays, size)
+    cid, code, bit, df, size, a = cid[starts][stays], code[keep], bit[keep], df[keep], size[stays], a[stays]
+    first = np.r_[0, np.cumsum(size)]
+    pos = code & 0xFFFFFFFF
+    cover = np.maximum(0, (a - -(-2 * p * a // (p + q))) - (a - size) + 1)  # 0: it is the smaller text of no pair
+    probed = allocate_all(pos, df, first, cover)
+    here = np.repeat(_size_class(a, p, q), size)
+    hot = df >= hot_from
+    keys = np.where(hot, _keyed(bit, here), bit)
+    cold, warm = np.flatnonzero(probed & ~hot), np.flatnonzero(probed & hot)
+    ahead = CLASSES + 2 if p < q else 1  # size classes in which a larger text can be, one more for rounding
+    asked = np.r_[bit[cold], *[_keyed(bit[warm], here[warm] + k) for k in range(ahead)]]
+    of = np.repeat(np.arange(len(size)), size)
+    owner = np.r_[of[cold], np.tile(of[warm], ahead)]
+    back = np.argsort(owner, kind="stable")
+    slot, mask = (bit >> 6) & (PARITIES - 1), np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64)).view(np.int64)
+    parities = [np.bitwise_xor.reduceat(np.where(slot == w, mask, 0), first[:-1]) if len(size) else np.zeros(0, np.int64) for w in range(PARITIES)]
+
+    def lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+    probes = lists(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(size)))], asked[back])
+    arrays = [pa.array(cid), pa.array(a.astype(np.int32)), lists(first, pos.astype(np.int32)), lists(first, bit), lists(first, keys), probes, *map(pa.array, parities)]
+    return pa.RecordBatch.from_arrays(arrays, ["cid", "a", "pos", "bits", "keys", "probes", *[f"s{w}" for w in range(PARITIES)]])
+
+
+_TEXT = "cid long, a int, pos array<int>, bits array<bigint>, keys array<bigint>, probes array<bigint>, " + ", ".join(f"s{w} long" for w in range(PARITIES))
+
+
+def _assembled(p: int, q: int):
+    """Rows (cid, code, bit, df) in order of cid to texts; a batch's last text may go on in the next one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def put_together(last: bool) -> pa.RecordBatch | None:
+            nonlocal held, n
+            cols = [np.concatenate([h[i] for h in held]) for i in range(4)]
+            others = np.flatnonzero(cols[0] != cols[0][-1])
+            end = len(cols[0]) if last else int(others[-1]) + 1 if len(others) else 0
+            held, n = ([[c[end:] for c in cols]], len(cols[0]) - end) if end < len(cols[0]) else ([], 0)
+            return _texts(*[c[:end] for c in cols], p, q, HOT) if end else None
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            cid, size = b["cid"].to_numpy(), b["a"].to_numpy()
-            off = b["bits"].offsets.to_numpy()
-            bits, pos, df = (b[c].flatten().to_numpy() for c in ("bits", "pos", "df"))
-            off = off - off[0]
-            ids, sizes, probes = [], [], []
-            for i in range(b.num_rows):
-                s, e, a = off[i], off[i + 1], int(size[i])
-                cover = (a - -(-2 * p * a // (p + q))) - (a - (e - s)) + 1
-                if cover > 0:  # else it is the smaller text of no pair
-                    at = allocate(pos[s:e], df[s:e], int(cover))
-                    ids.append(np.full(len(at), cid[i]))
-                    sizes.append(np.full(len(at), a))
-                    probes.append(bits[s:e][at])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(probes))], ["x", "xa", "bit"])
+            if b.num_rows:
+                held.append([b.column(i).to_numpy() for i in range(4)])
+                n += b.num_rows
+                if n >= ROWS:
+                    out = put_together(False)
+                    if out is not None:
+                        yield out
+        if n:
+            yield put_together(True)
 
     return run
 
 
+def _live(flat: DataFrame, p: int, q: int) -> DataFrame:
+    """Texts with the bits that at least two texts have, of the texts that keep enough of them for any pair.
+
+    flat: (cid, code, bit), code being a and pos in one number. Counting the owners combines before its shuffle; in the
+    join a hot bit may be split over tasks. A text's bits then meet in one task.
+    """
+    df = flat.groupBy("bit").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    kept = flat.join(df, "bit").select("cid", "code", "bit", "df")
+    return kept.repartition("cid").sortWithinPartitions("cid").mapInArrow(_assembled(p, q), _TEXT)
+
+
+def _code(pos: str) -> Column:
+    return (F.shiftleft(F.col("a").cast("long"), 32) + F.col(pos)).alias("code")
+
+
 def class_pairs(classes: DataFrame, threshold: Fraction) -> DataFrame:
     """(x, y, shared, union) of all pairs of different classes with a Jaccard similarity of at least the threshold, x < y."""
     p, q = threshold.numerator, threshold.denominator
     texts = classes.where(F.col("a") > 0)
-    left, n = texts, texts.count()
+    flat, n = texts.select("cid", "a", F.posexplode("bits").alias("pos", "bit")).select("cid", _code("pos"), "bit"), texts.count()
     for _ in range(MAX_ROUNDS):
-        left = materialize(_live(left.select("cid", "a", "bits"), p, q), "live")
+        left = materialize(_live(flat, p, q), "live")
         before, n = n, left.count()
         if before - n <= WORTH * before:
             break
-    probes = left.mapInArrow(_probe(p, q), "x long, xa int, bit long")
-    index = left.select(F.col("cid").alias("y"), F.col("a").alias("ya"), F.explode("bits").alias("bit"))
+        flat = left.select("cid", "a", F.explode(F.arrays_zip("pos", "bits")).alias("b")).select("cid", _code("b.pos"), F.col("b.bits").alias("bit"))
+    probes = left.select(F.col("cid").alias("x"), F.col("a").alias("xa"), F.explode("probes").alias("key"))
+    index = left.select(F.col("cid").alias("y"), F.col("a").alias("ya"), F.explode("keys").alias("key"))
     fits = ((F.col("ya") > F.col("xa")) | ((F.col("ya") == F.col("xa")) & (F.col("y") > F.col("x")))) & (F.col("xa") * q >= F.col("ya") * p)
-    candidates = probes.join(index, "bit").where(fits).select("x", "y").distinct()
-    one = candidates.join(left.select(F.col("cid").alias("x"), F.col("a").alias("xa"), F.col("bits").alias("xb")), "x")
-    two = one.join(left.select(F.col("cid").alias("y"), F.col("a").alias("ya"), F.col("bits").alias("yb")), "y")
-    counted = two.select("x", "y", F.size(F.array_intersect("xb", "yb")).alias("shared"), (F.col("xa") + F.col("ya")).alias("total"))
+    candidates = probes.join(index, "key").where(fits).select("x", "y").distinct()
+    signs = [f"s{w}" for w in range(PARITIES)]
+    one = candidates.join(left.select(F.col("cid").alias("x"), F.col("a").alias("xa"), *[F.col(s).alias(f"x{s}") for s in signs]), "x")
+    two = one.join(left.select(F.col("cid").alias("y"), F.col("a").alias("ya"), *[F.col(s).alias(f"y{s}") for s in signs]), "y")
+    total = F.col("xa") + F.col("ya")
+    apart = sum((F.bit_count(F.col(f"x{s}").bitwiseXOR(F.col(f"y{s}"))) for s in signs), F.lit(0))
+    close = two.where(apart <= total - 2 * F.ceil(total * p / (p + q))).select("x", "y", "xa", "ya")
+    close = close.join(left.select(F.col("cid").alias("x"), F.col("bits").alias("xb")), "x").join(left.select(F.col("cid").alias("y"), F.col("bits").alias("yb")), "y")
+    counted = close.select("x", "y", F.size(F.array_intersect("xb", "yb")).alias("shared"), total.alias("total"))
     return counted.where(F.col("shared") * (p + q) >= F.col("total") * p).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "shared", (F.col("total") - F.col("shared")).alias("union"))
 
 

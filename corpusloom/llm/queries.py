@@ -13,6 +13,7 @@ from corpusloom.llm.tokens import token_counts
 from corpusloom.operators.dedup import once_per_id
 from corpusloom.operators.postings import fragment_postings
 from corpusloom.plans.tables import table
+from corpusloom.session import materialize
 
 TITLE_ABSTRACT = "concat_ws(' ', coalesce(title, ''), coalesce(abstract, ''))"
 SIMILAR = {"threshold": Fraction(6, 10), "n": 3, "min_words": 20}
@@ -25,8 +26,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Every pmid with the class of its text, the group of near-duplicates and the number of similar classes."""
-    return near_duplicates.near_duplicate_groups(table(spark, d, "document_versions"), "pmid", F.expr(TITLE_ABSTRACT), **SIMILAR).withColumnRenamed("key", "pmid")
+    """Every pmid and text with the least pmid of the text, that of the group of near-duplicates, and the number of similar texts."""
+    found = materialize(near_duplicates.near_duplicate_groups(table(spark, d, "document_versions"), "pmid", F.expr(TITLE_ABSTRACT), **SIMILAR), "groups")
+    of_class = found.groupBy("class_id").agg(F.min("key").alias("class_pmid"))
+    of_group = found.groupBy("group_id").agg(F.min("key").alias("group_pmid"))
+    return found.join(of_class, "class_id").join(of_group, "group_id").select(F.col("key").alias("pmid"), "class_pmid", "group_pmid", "n_links")
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
@@ -134,6 +138,15 @@ b AS (SELECT row_number() OVER () AS id, pmid, list_distinct(list_transform(rang
 f AS (SELECT id, pmid, len(s) AS n, unnest(s) AS g FROM b),
 k AS (SELECT x.id, y.id AS id2, any_value(x.pmid) AS p1, any_value(y.pmid) AS p2, any_value(x.n) AS n1, any_value(y.n) AS n2, count(*) AS k FROM f x JOIN f y ON x.g = y.g AND x.pmid < y.pmid GROUP BY 1, 2)
 SELECT DISTINCT p1 AS pmid_1, p2 AS pmid_2 FROM k WHERE 10 * k >= 6 * (n1 + n2 - k)""",
+    "p2_groups": f"""
+WITH RECURSIVE v AS (SELECT DISTINCT pmid, {_ALL_TEXT} AS w FROM document_versions),
+c AS (SELECT w, min(pmid) AS first, row_number() OVER () AS id FROM v WHERE len(w) >= 20 GROUP BY w),
+f AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM c),
+n AS (SELECT id, count(*) AS n FROM f GROUP BY id),
+k AS (SELECT x.id, y.id AS id2, count(*) AS k FROM f x JOIN f y ON x.g = y.g AND x.id <> y.id GROUP BY 1, 2),
+e AS (SELECT k.id, k.id2 FROM k JOIN n ON n.id = k.id JOIN n m ON m.id = k.id2 WHERE 10 * k >= 6 * (n.n + m.n - k)),
+r(id, other) AS (SELECT id, id FROM c UNION SELECT r.id, e.id2 FROM r JOIN e ON e.id = r.other)
+SELECT v.pmid, c.first AS class_pmid, (SELECT min(o.first) FROM r JOIN c o ON o.id = r.other WHERE r.id = c.id) AS group_pmid, (SELECT count(*) FROM e WHERE e.id = c.id) AS n_links FROM v JOIN c USING (w)""",
     "p4_found": _P4 + "SELECT term_1, term_2 FROM total WHERE together >= 3 AND 1000 * together >= n_docs AND together * n_docs >= 4 * n_1 * n_2",
     "p4_pairs": _P4 + "SELECT *, round(CASE WHEN n_1 > 0 AND n_2 > 0 THEN together * CAST(n_docs AS DOUBLE) / (n_1 * n_2) END, 6) AS lift FROM total",
     "p5_found": _P5 + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",

@@ -153,3 +153,26 @@ def test_thresholds_of_a_very_long_text():
     n = 40_000
     got = N.allocate(np.arange(n), np.full(n, 2), 9_000)
     assert len(set(got.tolist())) == 9_000
+
+
+def test_a_shingle_in_every_text(spark, monkeypatch):
+    """Hot bits are indexed by size; texts made of boilerplate only have nothing else to probe."""
+    monkeypatch.setattr(N, "HOT", 5)  # of the driver's closure, which the tasks get
+    r = random.Random(11)
+    boiler = [" ".join(r.choice(["the", "results", "of", "this", "study"]) for _ in range(9)) for _ in range(12)]
+    data = [(i, " ".join(r.sample(boiler, r.randint(3, 7)))) for i in range(60)] + [(100 + i, "the results of this study " + " ".join(f"w{r.randrange(40)}" for _ in range(r.randint(20, 60)))) for i in range(60)]
+    for threshold in (Fraction(6, 10), Fraction(9, 10), Fraction(1)):
+        got = rows(N.near_duplicate_pairs(frame(spark, data), "pmid", F.col("text"), threshold, 3, 20))
+        assert sorted(got) == brute(data, threshold, 3, 20) and (got or threshold > Fraction(6, 10))
+
+
+def test_texts_over_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(N, "ROWS", 50)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        data = make(3)
+        got = rows(N.near_duplicate_pairs(frame(spark, data), "pmid", F.col("text"), Fraction(6, 10), 3, 20))
+        assert sorted(got) == brute(data, Fraction(6, 10), 3, 20)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
