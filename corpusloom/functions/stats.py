@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,58 +19,72 @@ def contingency(both: Column, first: Column, second: Column, total: Column) -> l
     return [both, first - both, second - both, total - first - second + both]
 
 
+_SMALL = np.r_[0.0, np.cumsum(np.log(np.arange(1, 256)))]
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """log(n!) of whole numbers: a table of sums below 256, Stirling's series above."""
+    x = np.maximum(n, 1).astype(float)
+    series = (x + 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n < 256, _SMALL[np.clip(n, 0, 255)], series)
+
+
+def hypergeometric_tails(ab: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """P(X >= ab) for the overlap X of random sets of sizes a and b among n; 1 if a margin is empty. All tables at once."""
+    ab, a, b, n = (np.asarray(x, np.int64) for x in (ab, a, b, n))
+    out = np.ones(len(ab))
+    some = np.flatnonzero((ab > 0) & (a > 0) & (b > 0) & (a < n) & (b < n) & (ab >= a + b - n + 1))
+    ab, a, b, n = ab[some], a[some], b[some], n[some]
+    below = ab <= a / n * b  # the smaller tail is summed
+    k = np.where(below, ab - 1, ab)
+    f = _log_factorial
+    start = f(a) - f(k) - f(a - k) + f(n - a) - f(b - k) - f(n - a - b + k) - f(n) + f(b) + f(n - b)
+    last = np.where(below, np.maximum(0, a + b - n), np.minimum(a, b))
+    term, total = np.ones(len(ab)), np.zeros(len(ab))
+    at = np.flatnonzero(np.where(below, k >= last, k <= last))
+    while len(at):
+        total[at] += term[at]
+        x, y, z, m, down = (v[at].astype(float) for v in (k, a, b, n, below))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(down > 0, x * (m - y - z + x) / ((y - x + 1) * (z - x + 1)), (y - x) * (z - x) / ((x + 1) * (m - y - z + x + 1)))
+        term[at] *= ratio
+        k[at] += np.where(below[at], -1, 1)
+        at = at[np.where(below[at], k[at] >= last[at], k[at] <= last[at]) & (term[at] >= total[at] * 1e-17)]
+    tail = total * np.exp(start)
+    out[some] = np.where(below, np.maximum(0.0, 1.0 - tail), np.minimum(1.0, tail))
+    return out
+
+
 def hypergeometric_tail(ab: int, a: int, b: int, n: int) -> float:
-    """P(X >= ab) for the overlap X of random sets of sizes a and b among n; 1 if a margin is empty."""
-    if ab <= 0 or a <= 0 or b <= 0 or a >= n or b >= n or ab < a + b - n + 1:
-        return 1.0
-    top = min(a, b)
-    mean = a * b / n
-    g = math.lgamma
-
-    def log_mass(k: int) -> float:
-        return g(a + 1) - g(k + 1) - g(a - k + 1) + g(n - a + 1) - g(b - k + 1) - g(n - a - b + k + 1) - g(n + 1) + g(b + 1) + g(n - b + 1)
-
-    lower = max(0, a + b - n)
-    if ab <= mean:  # the smaller tail is summed
-        term, total, k = 1.0, 0.0, ab - 1
-        start = log_mass(k)
-        while k >= lower:
-            total += term
-            term *= k * (n - a - b + k) / ((a - k + 1) * (b - k + 1))
-            k -= 1
-            if term < total * 1e-17:
-                break
-        return max(0.0, 1.0 - total * math.exp(start))
-    term, total, k = 1.0, 0.0, ab
-    start = log_mass(k)
-    while k <= top:
-        total += term
-        term *= (a - k) * (b - k) / ((k + 1) * (n - a - b + k + 1))
-        k += 1
-        if term < total * 1e-17:
-            break
-    return min(1.0, total * math.exp(start))
+    """hypergeometric_tails of one table."""
+    return float(hypergeometric_tails(*([x] for x in (ab, a, b, n)))[0])
 
 
-def yates_p(ab: int, a: int, b: int, n: int) -> float:
-    """Two-sided chi-square p-value with continuity correction; 1 if a margin is empty."""
+def yates_ps(ab: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-sided chi-square p-values with continuity correction; 1 if a margin is empty."""
+    ab, a, b, n = (np.asarray(x, float) for x in (ab, a, b, n))
     c, d = n - a, n - b
-    if min(a, b, c, d) <= 0:
-        return 1.0
-    diff = abs(ab * n - a * b) / n
-    diff -= min(0.5, diff)
-    x2 = diff * diff * sum(1 / (r * s / n) for r in (a, c) for s in (b, d))
-    return math.erfc(math.sqrt(x2 / 2))
+    full = np.minimum(np.minimum(a, b), np.minimum(c, d)) > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        diff = np.abs(ab * n - a * b) / n
+        diff = diff - np.minimum(0.5, diff)
+        x2 = diff * diff * sum(1 / (r * s / n) for r in (a, c) for s in (b, d))
+    return np.array([math.erfc(math.sqrt(x / 2)) if ok else 1.0 for x, ok in zip(x2.tolist(), full.tolist())])
+
+
+def yates_p(ab: int, a: int, b: int, n: int) -> float:
+    """yates_ps of one table."""
+    return float(yates_ps(*([x] for x in (ab, a, b, n)))[0])
 
 
 def p_value(both: Column, first: Column, second: Column, total: Column, scoring: str = "fet") -> Column:
     """One-sided Fisher's exact test ('fet') or chi-square ('chi-square') of a batch of tables at once."""
-    test = {"fet": hypergeometric_tail, "chi-square": yates_p}.get(scoring)
+    test = {"fet": hypergeometric_tails, "chi-square": yates_ps}.get(scoring)
     if test is None:
         raise ValueError(f"unknown scoring method {scoring!r}")
 
     def run(ab: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([test(*x) for x in zip(ab.tolist(), a.tolist(), b.tolist(), n.tolist())], dtype="float64")
+        return pd.Series(test(ab.to_numpy(), a.to_numpy(), b.to_numpy(), n.to_numpy()), dtype="float64")
 
     return F.pandas_udf(run, "double")(*[c.cast("long") for c in (both, first, second, total)])
 

@@ -100,12 +100,16 @@ class Sets:
         self.total = count_documents(corpus.docs, p.censor_year_lower, p.censor_year_upper).first()[0]
 
     def test(self, pairs: DataFrame, x: str, y: str) -> DataFrame:
-        """pairs (x_no, y_no) with counts, ratio, p-value and score of the prefix xy; pairs that never meet too."""
+        """pairs (x_no, y_no) with counts, ratio, p-value and score of the prefix xy; pairs that never meet too.
+
+        Documents meet on pmid, so each brings the pairs of the few terms it holds, whatever the number of asked pairs;
+        counts are combined before their shuffle, and only then the asked pairs are looked up.
+        """
         p, xy = self.p, f"{x}{y}"
         wanted = pairs.select("x_no", "y_no").distinct()
-        left = self.members.join(F.broadcast(wanted), self.members["term_no"] == wanted["x_no"]).drop("term_no")  # pairs of the job's terms
-        right = self.members.select(F.col("term_no").alias("y_no"), "pmid")
-        meet = left.join(right, ["pmid", "y_no"])
+        left = self.members.withColumnRenamed("term_no", "x_no").join(wanted.select("x_no").distinct(), "x_no", "left_semi")
+        right = self.members.select(F.col("term_no").alias("y_no"), "pmid").join(wanted.select("y_no").distinct(), "y_no", "left_semi")
+        meet = left.join(right, "pmid")
         both = meet.groupBy("x_no", "y_no").agg(F.count(F.lit(1)).alias(f"{xy}_count"))
         nx, ny = (self.sizes.select(F.col("term_no").alias(f"{s}_no"), F.col("n").alias(f"{t}_count")) for s, t in (("x", x), ("y", y)))
         out = wanted.join(nx, "x_no", "left").join(ny, "y_no", "left").join(both, ["x_no", "y_no"], "left").fillna(0, [f"{x}_count", f"{y}_count", f"{xy}_count"])
@@ -113,7 +117,7 @@ class Sets:
         out = out.withColumn(f"{xy}_pvalue", stats.p_value(c[xy], c[x], c[y], n, p.scoring)).withColumn(f"{xy}_sort_ratio", stats.sort_ratio(c[xy], c[y]))
         out = out.withColumn(f"{xy}_pred_score", stats.prediction_score(F.col(f"{xy}_pvalue"), F.col(f"{xy}_sort_ratio")))
         if p.return_pmids:
-            tops = top_articles(meet, ["x_no", "y_no"], p)
+            tops = top_articles(meet.join(wanted, ["x_no", "y_no"], "left_semi"), ["x_no", "y_no"], p)
             out = out.join(tops.withColumnRenamed("pmids", f"{xy}_pmid_intersection"), ["x_no", "y_no"], "left")
             out = out.withColumn(f"{xy}_pmid_intersection", F.coalesce(f"{xy}_pmid_intersection", F.array().cast("array<bigint>")))
         else:
@@ -123,6 +127,13 @@ class Sets:
     def pairs(self, couples: list[tuple[str, str]]) -> DataFrame:
         return self.corpus.spark.createDataFrame([(self.number[a], self.number[b], a, b) for a, b in dict.fromkeys(couples)], _PAIR)
 
+    def asked(self, a_terms: list[str], b_terms: list[str], paired: bool) -> DataFrame:
+        """(a_term, b_term, x_no, y_no, a_index, b_index): the aligned pairs, or every b-term with each of the few a-terms."""
+        b = self.corpus.spark.createDataFrame([(t, self.number[t], j) for j, t in enumerate(b_terms)], "b_term string, y_no int, b_index int")
+        a = [F.struct(F.lit(t).alias("a_term"), F.lit(self.number[t]).alias("x_no"), F.lit(i).alias("a_index")) for i, t in enumerate(a_terms)]
+        each = F.array(F.get(F.array(*a), F.col("b_index"))) if paired else F.array(*a)
+        return b.withColumn("a", F.explode(each)).select("a.a_term", "b_term", "a.x_no", "y_no", "a.a_index", "b_index")
+
 
 def ranked(meet: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each key. The limit is applied before the shuffle too, so a hot key sends n rows a task."""
@@ -171,10 +182,9 @@ def associate_pairs(corpus: Corpus, p: Params) -> DataFrame:
     Every asked pair has a row, also if the terms never meet; repeated terms repeat rows.
     """
     p = p.validated()
-    couples = [(a, b, i, i) for i, (a, b) in enumerate(zip(p.a_terms, p.b_terms))] if p.paired else [(a, b, i, j) for j, b in enumerate(p.b_terms) for i, a in enumerate(p.a_terms)]
     sets = Sets(corpus, [*p.a_terms, *p.b_terms], p)
-    tested = sets.test(sets.pairs([(a, b) for a, b, *_ in couples]), "a", "b")
-    asked = corpus.spark.createDataFrame([(a, b, sets.number[a], sets.number[b], i, j) for a, b, i, j in couples], "a_term string, b_term string, x_no int, y_no int, a_index int, b_index int")
+    asked = sets.asked(p.a_terms, p.b_terms, p.paired)
+    tested = sets.test(asked, "a", "b")
     out = _edges(corpus, asked.join(tested, ["x_no", "y_no"]).drop("x_no", "y_no"), "a", "b", p)
     return out.withColumn("total_count", F.lit(sets.total).cast("long")).orderBy(F.col("ab_pred_score").desc(), "b_index", "a_index")
 
@@ -199,14 +209,14 @@ def associate_chains(corpus: Corpus, p: Params) -> DataFrame:
         chains = _edges(corpus, chains, "a", "b", p)
         ranked_ab = None
     else:
-        couples = [(a, b, num[a], num[b], i, j) for j, b in enumerate(p.b_terms) for i, a in enumerate(p.a_terms)]
-        asked = spark.createDataFrame(couples, "a_term string, b_term string, a_no int, b_no int, a_index int, b_index int")
+        asked = sets.asked(p.a_terms, p.b_terms, False).withColumnsRenamed({"x_no": "a_no", "y_no": "b_no"})
         ab = _tested(sets, asked.select(F.col("a_no").alias("x_no"), F.col("b_no").alias("y_no")), "a", "b")
-        valid = asked.join(ab, ["a_no", "b_no"]).where(F.col("ab_pvalue") <= p.ab_fet_threshold)
-        # rows are pairs of the job's own terms, so one ordered window over all of them is small
-        ranked_ab = materialize(valid.withColumn("ab_rank", F.row_number().over(Window.orderBy(F.col("ab_pred_score").desc(), "b_index", "a_index"))), "ranked")
+        best = [F.col("ab_pred_score").desc(), "b_index", "a_index"]
+        ranked_ab = materialize(asked.join(ab, ["a_no", "b_no"]).where(F.col("ab_pvalue") <= p.ab_fet_threshold), "valid")
         padding = PADDING if p.valid_bc_hit_pval < 1.0 else 0
-        top = _edges(corpus, ranked_ab.where(F.col("ab_rank") <= p.top_n_ab + padding).drop("a_index", "b_index"), "a", "b", p)
+        first = ranked_ab.orderBy(*best).limit(p.top_n_ab + padding)  # only these are put in one task to number them
+        top = first.withColumn("ab_rank", F.row_number().over(Window.orderBy(*best))).drop("a_index", "b_index")
+        top = _edges(corpus, materialize(top, "ranked"), "a", "b", p)
         last = F.array(*[F.struct(F.lit(c).alias("c_term"), F.lit(num[c]).alias("c_no"), F.lit(i).alias("c_index")) for i, c in enumerate(p.c_terms)])
         chains = top.withColumn("c", F.explode(last)).select(*top.columns, "c.c_term", "c.c_no", "c.c_index")  # the job's own list
     bc = _tested(sets, chains.select(F.col("b_no").alias("x_no"), F.col("c_no").alias("y_no")), "b", "c").drop("b_count")
@@ -216,7 +226,7 @@ def associate_chains(corpus: Corpus, p: Params) -> DataFrame:
     if ranked_ab is not None and p.valid_bc_hit_pval < 1.0:
         out = materialize(out, "chains")
         good = out.where(F.col("bc_pvalue") <= p.valid_bc_hit_pval).select("b_term").distinct()
-        kept = ranked_ab.join(good, "b_term", "left_semi").orderBy("ab_rank").limit(p.top_n_ab).select("b_term").distinct()
+        kept = ranked_ab.join(good, "b_term", "left_semi").orderBy(*best).limit(p.top_n_ab).select("b_term").distinct()
         out = out.join(kept, "b_term", "left_semi")
     return out.drop("a_no", "b_no", "c_no").withColumn("total_count", F.lit(sets.total).cast("long")).orderBy(F.col("bc_pred_score").desc(), "c_index", "ab_rank")
 

@@ -79,7 +79,7 @@ def upsert(current: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame
 def get_documents(docs: DataFrame, pmids: list[int]) -> DataFrame:
     """The documents of a list of pmids in its order, repeated ones again, missing ones left out."""
     wanted = docs.sparkSession.createDataFrame(list(enumerate(pmids)), "position int, pmid long")
-    return docs.join(F.broadcast(wanted), "pmid").orderBy("position")  # a list given by the caller
+    return docs.join(wanted, "pmid").orderBy("position")
 
 
 def get_document(docs: DataFrame, pmid: int) -> DataFrame:
@@ -107,4 +107,4 @@ def write_documents(docs: DataFrame, path: str) -> None:
 def delete_documents(docs: DataFrame, pmids: list[int]) -> DataFrame:
     """The corpus without these documents."""
     gone = docs.sparkSession.createDataFrame([(p,) for p in pmids], "pmid long")
-    return docs.join(F.broadcast(gone), "pmid", "left_anti")
+    return docs.join(gone, "pmid", "left_anti")

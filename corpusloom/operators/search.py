@@ -11,8 +11,15 @@ from corpusloom.operators import terms as T
 from corpusloom.operators.corpus import MAX_YEAR, MIN_YEAR, in_years
 from corpusloom.operators.index import build_postings
 
-#: So many n-grams are pushed down to the postings' files as a filter.
-PUSHED = 1000
+#: So many ranges of n-grams are pushed down to the postings' files as a filter; with fewer n-grams each is a range of its own.
+RANGES = 200
+
+
+def _within(grams: list[str]) -> Column:
+    """A filter on ranges that hold the sorted n-grams, in a form that prunes the row groups of sorted files."""
+    step = -(-len(grams) // RANGES)
+    ranges = [(grams[i], grams[min(i + step, len(grams)) - 1]) for i in range(0, len(grams), step)]
+    return reduce(lambda x, y: x | y, [F.col("ngram") == lo if lo == hi else F.col("ngram").between(lo, hi) for lo, hi in ranges])
 
 
 def _condition(tree: tuple, flags: Column) -> Column:
@@ -41,12 +48,12 @@ def search_postings(spark: SparkSession, postings: DataFrame, terms: list[str])
     if not needed:
         return spark.createDataFrame([], "term_no int, pmid long")
     grams = sorted({g for g, *_ in needed})
-    hit = postings.where(F.col("ngram").isin(grams)) if len(grams) <= PUSHED else postings
-    wanted = F.broadcast(spark.createDataFrame(needed, "ngram string, phrase int, k int, bit int, full int"))  # the query's own words
+    wanted = spark.createDataFrame(needed, "ngram string, phrase int, k int, bit int, full int")  # the query's own words; broadcast if their size is small
+    hit = postings.where(_within(grams))
     places = hit.join(wanted, "ngram").select("phrase", "full", "pmid", "bit", F.when(F.col("full") == 1, F.lit(0)).otherwise(F.col("pos") - F.col("k")).alias("start"))
     found = places.groupBy("phrase", "full", "pmid", "start").agg(F.bit_or("bit").alias("seen"))
     found = found.where("seen = full").select("phrase", "pmid").distinct()
-    member = found.join(F.broadcast(spark.createDataFrame(uses, "phrase int, k int, term_no int")), "phrase")
+    member = found.join(spark.createDataFrame(uses, "phrase int, k int, term_no int"), "phrase")
     plain = [j for j, q in enumerate(queries) if q.tree and q.tree[0] == "sub"]
     out = member.where(F.col("term_no").isin(plain)).select("term_no", "pmid")
     composite = [(j, q.tree) for j, q in enumerate(queries) if q.tree and q.tree[0] != "sub"]

@@ -42,6 +42,30 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "canonical_documents").select("uuid", "is_indexed", "pmid", *corpus.FIELDS)
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    """The written index of a folder's documents; the first query of a session that needs it builds it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _INDEXES:
+        folder = scratch(spark, "index")
+        index.write_postings(index.build_postings(docs(spark, d)), folder)
+        _INDEXES[at] = folder
+    return spark.read.parquet(_INDEXES[at])
+
+
+def _corpus(spark: SparkSession, d: str, edges: bool = False) -> association.Corpus:
+    return association.Corpus(docs(spark, d), postings(spark, d), knowledge.load_edges(_edges(spark, d)) if edges else None)
+
+
+def index_build(spark, d):
+    """A whole index, written; its n-grams and postings by order."""
+    folder = scratch(spark, "index")
+    index.write_postings(index.build_postings(docs(spark, d)), folder)
+    return spark.read.parquet(folder).groupBy("n").agg(F.count(F.lit(1)).alias("n_postings"), F.count_distinct("ngram").alias("n_ngrams"))
+
+
 def tokenize_documents(spark, d):
     return docs(spark, d).select("pmid", X.words("title").alias("title_words"), X.words("abstract").alias("abstract_words"))
 
@@ -80,14 +104,14 @@ def shard_assignment(spark, d):
 def _search(name):
     def run(spark, d):
         names = spark.createDataFrame(list(enumerate(SEARCHES[name])), "term_no int, term string")
-        return search(docs(spark, d), SEARCHES[name]).join(F.broadcast(names), "term_no").select("term", "pmid")
+        return search(docs(spark, d), SEARCHES[name], postings=postings(spark, d)).join(names, "term_no").select("term", "pmid")
 
     run.__name__ = name
     return run
 
 
 def search_year_censored(spark, d):
-    found = [search(docs(spark, d), ["no difference in"], *y).select(F.lit(f"{y[0]}-{y[1]}").alias("years"), "pmid") for y in [(1000, 2100), YEARS, (2100, 2100)]]
+    found = [search(docs(spark, d), ["no difference in"], *y, postings=postings(spark, d)).select(F.lit(f"{y[0]}-{y[1]}").alias("years"), "pmid") for y in [(1000, 2100), YEARS, (2100, 2100)]]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
@@ -95,7 +119,7 @@ def query_cache(spark, d):
     """Document lists of the asked terms, as a table that searches can join."""
     asked = ["older adults", "no difference in", "regimen | usual care"]
     names = spark.createDataFrame(list(enumerate(asked)), "term_no int, term string")
-    return search(docs(spark, d), asked).join(F.broadcast(names), "term_no").groupBy("term").agg(F.count(F.lit(1)).alias("n_documents"), F.min("pmid").alias("first_pmid"), F.max("pmid").alias("last_pmid"))
+    return search(docs(spark, d), asked, postings=postings(spark, d)).join(names, "term_no").groupBy("term").agg(F.count(F.lit(1)).alias("n_documents"), F.min("pmid").alias("first_pmid"), F.max("pmid").alias("last_pmid"))
 
 
 def count_documents_by_range(spark, d):
@@ -133,8 +157,7 @@ def _rounded(df: DataFrame, prefixes: list[str]) -> DataFrame:
 
 
 def _pairs(spark, d, **more):
-    c = association.Corpus(docs(spark, d), None, knowledge.load_edges(_edges(spark, d)))
-    return association.associate(c, Params(A_TERMS, B_TERMS, as_of_year=AS_OF, **more))
+    return association.associate(_corpus(spark, d, edges=True), Params(A_TERMS, B_TERMS, as_of_year=AS_OF, **more))
 
 
 _PAIR_COLUMNS = ["a_index", "b_index", "a_term", "b_term", "total_count", "a_count", "b_count", "ab_count", "ab_sort_ratio", "ab_neg_log_p", "ab_pred_score"]
@@ -161,18 +184,29 @@ def assoc_chi_square(spark, d):
 
 
 def assoc_paired(spark, d):
-    c = association.Corpus(docs(spark, d))
-    return _rounded(association.associate(c, Params(A_TERMS, B_TERMS[1:4], paired=True)), ["ab"]).select(_PAIR_COLUMNS)
+    return _rounded(association.associate(_corpus(spark, d), Params(A_TERMS, B_TERMS[1:4], paired=True)), ["ab"]).select(_PAIR_COLUMNS)
 
 
-def assoc_from_index(spark, d):
-    """The same pairs by way of a written index."""
-    at = scratch(spark, "index")
-    index.write_postings(index.build_postings(docs(spark, d)), at)
-    c = association.Corpus(docs(spark, d), spark.read.parquet(at))
+def assoc_without_index(spark, d):
+    """The same pairs with postings made on the fly."""
+    c = association.Corpus(docs(spark, d))
     return _rounded(association.associate(c, Params(A_TERMS, B_TERMS)), ["ab"]).select(_PAIR_COLUMNS)
 
 
+def assoc_jobs(spark, d):
+    """Every pair that a job of the job table asks for, all jobs' terms being found in one pass over the index."""
+    j = table(spark, d, "kinderminer_jobs").where("size(a_terms) > 0 AND size(b_terms) > 0").select("a_terms", "b_terms", F.coalesce("paired", F.lit(False)).alias("paired"))
+    aligned = j.where("paired").select(F.explode(F.arrays_zip("a_terms", "b_terms")).alias("x")).select(F.col("x.a_terms").alias("x_term"), F.col("x.b_terms").alias("y_term"))
+    crossed = j.where("NOT paired").select(F.explode("a_terms").alias("x_term"), "b_terms").select("x_term", F.explode("b_terms").alias("y_term"))
+    asked = aligned.unionByName(crossed).where("x_term IS NOT NULL AND y_term IS NOT NULL").distinct()
+    names = [r[0] for r in asked.select(F.col("x_term").alias("t")).union(asked.select("y_term")).distinct().collect()]  # the jobs' terms
+    sets = association.Sets(_corpus(spark, d), names, Params([], []))
+    number = spark.createDataFrame(list(sets.number.items()), "term string, no int")
+    pairs = asked.join(number.select(F.col("term").alias("x_term"), F.col("no").alias("x_no")), "x_term").join(number.select(F.col("term").alias("y_term"), F.col("no").alias("y_no")), "y_term")
+    tested = _rounded(sets.test(pairs, "a", "b"), ["ab"])
+    return pairs.join(tested, ["x_no", "y_no"]).select(F.col("x_term").alias("a_term"), F.col("y_term").alias("b_term"), "a_count", "b_count", "ab_count", "ab_sort_ratio", "ab_neg_log_p", "ab_pred_score")
+
+
 def _top(name, **counts):
     def run(spark, d):
         return _pairs(spark, d, return_pmids=True, **counts).select("a_term", "b_term", F.col("ab_pmid_intersection").alias("pmids")).distinct()
@@ -192,8 +226,7 @@ _CHAIN_COLUMNS = ["a_term", "b_term", "c_term", "total_count", "a_count", "b_cou
 
 
 def _chains(spark, d, **more):
-    c = association.Corpus(docs(spark, d))
-    return _rounded(association.associate(c, Params(more.pop("a", A_TERMS[:1]), B_TERMS[:7], more.pop("c", C_TERMS), ab_fet_threshold=0.9, **more)), ["ab", "bc", "ac"]).select(_CHAIN_COLUMNS)
+    return _rounded(association.associate(_corpus(spark, d), Params(more.pop("a", A_TERMS[:1]), B_TERMS[:7], more.pop("c", C_TERMS), ab_fet_threshold=0.9, **more)), ["ab", "bc", "ac"]).select(_CHAIN_COLUMNS)
 
 
 def chain_abc(spark, d):
@@ -206,7 +239,7 @@ def chain_padded(spark, d):
 
 def chain_paired(spark, d):
     p = Params(A_TERMS, B_TERMS[:3], C_TERMS[:3], paired=True, ab_fet_threshold=1.0)
-    return _rounded(association.associate(association.Corpus(docs(spark, d)), p), ["ab", "bc", "ac"]).select(_CHAIN_COLUMNS)
+    return _rounded(association.associate(_corpus(spark, d), p), ["ab", "bc", "ac"]).select(_CHAIN_COLUMNS)
 
 
 def _edges(spark, d):
@@ -234,8 +267,7 @@ def kg_relationships_censored(spark, d):
 
 
 def assoc_with_kg(spark, d):
-    c = association.Corpus(docs(spark, d), None, knowledge.load_edges(_edges(spark, d)))
-    r = association.associate(c, Params(["tyvi1", "vimi9"], ["tyvurdolib acetate", "tyvi1", "older adults"], query_knowledge_graph=True, rel_pvalue_cutoff=0.5))
+    r = association.associate(_corpus(spark, d, edges=True), Params(["tyvi1", "vimi9"], ["tyvurdolib acetate", "tyvi1", "older adults"], query_knowledge_graph=True, rel_pvalue_cutoff=0.5))
     return r.select("a_term", "b_term", "a_count", "b_count", "ab_count", F.coalesce(F.size("ab_relationship"), F.lit(-1)).alias("n_edges"))
 
 
@@ -317,7 +349,7 @@ def year_windows(spark, d):
 def scorer_inputs(spark, d):
     """Input rows of the external scorer, article lists looked up where the caller gave none."""
     data = [{"a_term": "tyvi1", "b_term": "older adults"}, {"a_term": "vimi9", "b_term": "usual care", "ab_pmid_intersection": [3, "5"]}]
-    filled = hypotheses.fill_articles(association.Corpus(docs(spark, d)), data, 2015, 2018)
+    filled = hypotheses.fill_articles(_corpus(spark, d), data, 2015, 2018)
     return hypotheses.scorer_input(filled, chains=False)
 
 
@@ -387,9 +419,9 @@ def user_errors(spark, d):
 
 
 _FUNCTIONS = [
-    tokenize_documents, sanitize_terms, split_subterms, ngram_counts, unigram_postings, bigram_positions, shard_assignment,
+    tokenize_documents, sanitize_terms, split_subterms, ngram_counts, index_build, unigram_postings, bigram_positions, shard_assignment,
     *[_search(n) for n in SEARCHES], search_year_censored, query_cache, count_documents_by_range, get_document, multi_get, distinct_origins, metadata_clamp,
-    contingency_table, assoc_pairs, assoc_pairs_censored, assoc_chi_square, assoc_paired, assoc_from_index, *[_top(n, **c) for n, c in _TOPS.items()],
+    contingency_table, assoc_pairs, assoc_pairs_censored, assoc_chi_square, assoc_paired, assoc_without_index, assoc_jobs, *[_top(n, **c) for n, c in _TOPS.items()],
     chain_abc, chain_padded, chain_paired, kg_load, kg_relationships, kg_relationships_censored, assoc_with_kg,
     upsert_latest, upsert_partial, upsert_noop, version_history, version_conflicts, removed_ngrams, reindex_incremental, defragment, delete_documents,
     file_anti_join, year_windows, scorer_inputs, parse_results, iteration_from_path, missing_iterations, xml_ingest, icite_ingest, kg_tsv_ingest,
@@ -406,16 +438,28 @@ docs AS (SELECT pmid, title, abstract, origin, pub_year, citation_count, is_inde
   ' ' || array_to_string({_W.format("title")}, ' ') || ' ' AS t, ' ' || array_to_string({_W.format("abstract")}, ' ') || ' ' AS a FROM canonical_documents)"""
 
 
-def _holds(term: str) -> str:
-    q = terms.parse(term)
+def _has(*phrases: str) -> str:
+    """A text holds one of the phrases."""
+    return "(" + " OR ".join(f"contains(t, ' {p} ') OR contains(a, ' {p} ')" for p in phrases) + ")"
 
-    def go(tree) -> str:
-        if tree[0] == "sub":
-            s = q.subterms[tree[1]]
-            return f"(contains(t, ' {s} ') OR contains(a, ' {s} '))"
-        return "(" + (" AND " if tree[0] == "and" else " OR ").join(go(x) for x in tree[1:]) + ")"
 
-    return go(q.tree) if q.tree else "false"
+#: What the terms ask for, written out by hand so that the SQL does not depend on the parser. All others are one phrase.
+_CONDITIONS = {
+    "vimi9&(risk|dose|level)": f"{_has('vimi9')} AND {_has('risk', 'dose', 'level')}",
+    "regimen | usual care": _has("regimen", "usual care"),
+    "ulmovt type-2 anemia": _has("ulmovt type 2 anemia"),
+    "tyvurdolib_acetate": _has("tyvurdolib acetate"),
+    "Therapy": _has("therapy"),
+    "usual-care": _has("usual care"),
+    "(tyvi1|vimi9)&risk": f"{_has('tyvi1', 'vimi9')} AND {_has('risk')}",
+    "dose & older adults | level & usual care": f"({_has('dose')} AND {_has('older adults')} OR {_has('level')} AND {_has('usual care')})",
+    "(risk|dose)&(level|therapy)&regimen": f"{_has('risk', 'dose')} AND {_has('level', 'therapy')} AND {_has('regimen')}",
+    "& risk &": _has("risk"),
+} | dict.fromkeys(["risk & (dose", "risk (dose)", "risk | | dose", "()"], "false")
+
+
+def _holds(term: str) -> str:
+    return _CONDITIONS.get(term) or _has(term)
 
 
 def _quoted(s: str) -> str:
@@ -433,16 +477,35 @@ def _values(rows: list[tuple], columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(one(v) for v in r) + ")" for r in rows) + f") AS v({columns})"
 
 
-def _test(name: str, x: str, y: str, source: str, where: str = "true") -> str:
+#: Complementary error function: its Taylor series below 3, its continued fraction above (DuckDB has none).
+_ERFC = (
+    "CASE WHEN z < 3 THEN 1 - 2 / sqrt(pi()) * z * (1 + list_sum(list_transform(range(1, 70), lambda i: exp(i * ln(greatest(z, 1e-150)) * 2 - lgamma(i + 1)) * (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) / (2 * i + 1)))) "
+    "ELSE exp(-z * z) / sqrt(pi()) / list_reduce(list_prepend(z, list_transform(range(1, 121), lambda i: CAST(i AS DOUBLE))), lambda acc, i: z + (121 - i) / 2 / acc) END"
+)
+
+
+def _test(name: str, x: str, y: str, source: str, where: str = "true", scoring: str = "fet") -> str:
     """CTE of tested pairs (x_term, y_term) of a source."""
-    xy = f"{x}{y}"
+    if scoring == "chi-square":
+        return f"""
+{name}0 AS (SELECT DISTINCT p.{x}_term, p.{y}_term, coalesce(sx.n, 0) AS na, coalesce(sy.n, 0) AS nb, (SELECT count(*) FROM docs WHERE {where}) AS n,
+  (SELECT count(*) FROM s s1 JOIN s s2 USING (pmid) WHERE s1.term = p.{x}_term AND s2.term = p.{y}_term) AS k
+  FROM {source} p LEFT JOIN sz sx ON sx.term = p.{x}_term LEFT JOIN sz sy ON sy.term = p.{y}_term),
+{name}z AS (SELECT *, greatest(abs(k - CAST(na AS DOUBLE) * nb / n) - 0.5, 0) AS diff, na > 0 AND nb > 0 AND na < n AND nb < n AS ok FROM {name}0),
+{name}y AS (SELECT *, CASE WHEN ok THEN sqrt(diff * diff * n * (1 / (CAST(na AS DOUBLE) * nb) + 1 / (CAST(na AS DOUBLE) * (n - nb)) + 1 / ((n - na) * CAST(nb AS DOUBLE)) + 1 / ((n - na) * CAST(n - nb AS DOUBLE))) / 2) ELSE 0.0 END AS z FROM {name}z),
+{name}1 AS (SELECT *, CASE WHEN ok THEN {_ERFC} ELSE 1.0 END AS p, CASE WHEN nb = 0 THEN 0.0 ELSE k / CAST(nb AS DOUBLE) END AS ratio FROM {name}y),""" + _scored(name, x, y)
     g = lambda n, k: f"lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)"
     return f"""
 {name}0 AS (SELECT DISTINCT p.{x}_term, p.{y}_term, coalesce(sx.n, 0) AS na, coalesce(sy.n, 0) AS nb, (SELECT count(*) FROM docs WHERE {where}) AS n,
   (SELECT count(*) FROM s s1 JOIN s s2 USING (pmid) WHERE s1.term = p.{x}_term AND s2.term = p.{y}_term) AS k
   FROM {source} p LEFT JOIN sz sx ON sx.term = p.{x}_term LEFT JOIN sz sy ON sy.term = p.{y}_term),
 {name}1 AS (SELECT *, CASE WHEN k = 0 OR na >= n OR nb >= n THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(k, least(na, nb) + 1), lambda i: exp({g("na", "i")} + {g("(n - na)", "(nb - i)")} - ({g("n", "nb")}))))) END AS p,
-  CASE WHEN nb = 0 THEN 0.0 ELSE k / CAST(nb AS DOUBLE) END AS ratio FROM {name}0),
+  CASE WHEN nb = 0 THEN 0.0 ELSE k / CAST(nb AS DOUBLE) END AS ratio FROM {name}0),""" + _scored(name, x, y)
+
+
+def _scored(name: str, x: str, y: str) -> str:
+    xy = f"{x}{y}"
+    return f"""
 {name} AS (SELECT {x}_term, {y}_term, n AS total_count, na AS {x}_count, nb AS {y}_count, k AS {xy}_count, ratio AS {xy}_sort_ratio, p AS {xy}_pvalue,
   abs(round(CASE WHEN p = 0 THEN 323.0 ELSE -log10(p) END, 5)) AS {xy}_neg_log_p,
   (CASE WHEN p = 0 THEN 323.0 ELSE least(323.0, -log10(p)) END + CASE WHEN ratio = 1 THEN 323.0 ELSE least(323.0, -2500 * log10(1 - ratio)) END) / 323.0 AS {xy}_pred_score FROM {name}1)"""
@@ -452,9 +515,9 @@ def _nice(xy: str, q: str = "") -> str:
     return f"abs(round({q}{xy}_sort_ratio, 6)) AS {xy}_sort_ratio, {q}{xy}_neg_log_p, abs(round({q}{xy}_pred_score, 6)) AS {xy}_pred_score, {q}{xy}_count"
 
 
-def _pair_sql(couples: list[tuple], where: str = "true") -> str:
+def _pair_sql(couples: list[tuple], where: str = "true", scoring: str = "fet") -> str:
     names = [t for c in couples for t in c[:2]]
-    return f"WITH {_DOCS}, {_sets(names, where)}, asked AS (SELECT * FROM {_values(couples, 'a_term, b_term, a_index, b_index')}), {_test('ab', 'a', 'b', 'asked', where)} SELECT a_index, b_index, a_term, b_term, total_count, a_count, b_count, {_nice('ab')} FROM asked JOIN ab USING (a_term, b_term)"
+    return f"WITH {_DOCS}, {_sets(names, where)}, asked AS (SELECT * FROM {_values(couples, 'a_term, b_term, a_index, b_index')}), {_test('ab', 'a', 'b', 'asked', where, scoring)} SELECT a_index, b_index, a_term, b_term, total_count, a_count, b_count, {_nice('ab')} FROM asked JOIN ab USING (a_term, b_term)"
 
 
 _COUPLES = [(a, b, i, j) for j, b in enumerate(B_TERMS) for i, a in enumerate(A_TERMS)]
@@ -523,6 +586,7 @@ ORACLE = {
     "sanitize_terms": f"WITH t AS (SELECT DISTINCT unnest(list_concat(coalesce(a_terms, []), coalesce(b_terms, []))) AS term FROM kinderminer_jobs) SELECT term, {_SAN.format('term')} AS with_operators, array_to_string({_W.format('term')}, ' ') AS words_only FROM t WHERE term IS NOT NULL",
     "split_subterms": f"WITH t AS (SELECT DISTINCT unnest(list_concat(coalesce(a_terms, []), coalesce(b_terms, []))) AS term FROM kinderminer_jobs) SELECT term, list_filter(list_transform(regexp_split_to_array({_SAN.format('term')}, '[&|()]'), lambda x: trim(x)), lambda x: x <> '') AS subterms FROM t WHERE term IS NOT NULL",
     "ngram_counts": _CANON + "SELECT ngram, n, count(*) AS n_positions, count(DISTINCT pmid) AS n_documents FROM post GROUP BY 1, 2",
+    "index_build": _CANON + "SELECT n, count(*) AS n_postings, count(DISTINCT ngram) AS n_ngrams FROM post GROUP BY 1",
     "unigram_postings": _CANON + "SELECT DISTINCT ngram, pmid FROM post WHERE n = 1",
     "bigram_positions": _CANON + "SELECT ngram, pmid, pos FROM post WHERE n = 2",
     **{n: f"WITH {_DOCS} " + " UNION ALL ".join(f"SELECT {_quoted(t)} AS term, pmid FROM docs WHERE {_holds(t)}" for t in ts) for n, ts in SEARCHES.items()},
@@ -535,7 +599,15 @@ ORACLE = {
     "metadata_clamp": f"WITH {_DOCS} SELECT pmid, pub_year, CAST(yr AS INTEGER) AS year, citation_count, cites AS citations FROM docs",
     "contingency_table": f"WITH p AS ({_ALL_PAIRS}) SELECT DISTINCT a_term, b_term, ab_count AS both, a_count - ab_count AS only_a, b_count - ab_count AS only_b, total_count - a_count - b_count + ab_count AS neither FROM p",
     "assoc_pairs": _ALL_PAIRS,
-    "assoc_from_index": _ALL_PAIRS,
+    "assoc_without_index": _ALL_PAIRS,
+    "assoc_jobs": f"""WITH {_DOCS}, j AS (SELECT row_number() OVER () AS job, a_terms, b_terms, coalesce(paired, false) AS paired FROM kinderminer_jobs WHERE len(a_terms) > 0 AND len(b_terms) > 0),
+x AS (SELECT job, unnest(a_terms) AS a_term, generate_subscripts(a_terms, 1) AS i FROM j), y AS (SELECT job, unnest(b_terms) AS b_term, generate_subscripts(b_terms, 1) AS k FROM j),
+asked AS (SELECT DISTINCT a_term, b_term FROM x JOIN y USING (job) JOIN j USING (job) WHERE (NOT paired OR i = k) AND a_term IS NOT NULL AND b_term IS NOT NULL),
+terms AS (SELECT a_term AS term FROM asked UNION SELECT b_term FROM asked), ph AS (SELECT term, unnest(string_split(term, '|')) AS part FROM terms),
+pw AS (SELECT term, ' ' || array_to_string({_W.format("part")}, ' ') || ' ' AS phrase FROM ph), s AS (SELECT DISTINCT term, pmid, yr, cites FROM docs JOIN pw ON contains(t, phrase) OR contains(a, phrase)), sz AS (SELECT term, count(*) AS n FROM s GROUP BY term),
+met AS (SELECT a_term, b_term, count(*) AS k FROM asked JOIN s s1 ON s1.term = a_term JOIN s s2 ON s2.term = b_term AND s2.pmid = s1.pmid GROUP BY 1, 2), {_test('ab', 'a', 'b', 'asked').replace("(SELECT count(*) FROM s s1 JOIN s s2 USING (pmid) WHERE s1.term = p.a_term AND s2.term = p.b_term)", "coalesce((SELECT met.k FROM met WHERE met.a_term = p.a_term AND met.b_term = p.b_term), 0)")}
+SELECT a_term, b_term, a_count, b_count, {_nice('ab')} FROM ab""",
+    "assoc_chi_square": _pair_sql(_COUPLES, scoring="chi-square"),
     "assoc_pairs_censored": _pair_sql(_COUPLES, "yr BETWEEN 1990 AND 2009"),
     "assoc_paired": _pair_sql([(a, b, i, i) for i, (a, b) in enumerate(zip(A_TERMS, B_TERMS[1:4]))]),
     "top_recent": _top_sql([("yr", 5)]),
@@ -574,6 +646,9 @@ SELECT pmid, CAST(coalesce(y, pub_year) AS INTEGER) AS pub_year, title, coalesce
     "missing_iterations": "SELECT 2 AS iteration UNION ALL SELECT 4",
     "xml_ingest": "SELECT pmid, pub_year, CAST(length(regexp_replace(title, '</?[A-Za-z][^<>]*>', '', 'g')) AS INTEGER) AS title_length, CAST(length(regexp_replace(abstract, '</?[A-Za-z][^<>]*>', '', 'g')) AS INTEGER) AS abstract_length FROM canonical_documents",
     "icite_ingest": f"WITH {_DOCS} SELECT pmid, cites + 1 AS citation_count FROM docs",
+    "job_listing": """WITH j AS (SELECT id, max(created_at) AS created_at, arg_max(coalesce(array_to_string(a_terms, ', '), ''), {'a': created_at, 'b': coalesce(array_to_string(a_terms, ', '), '')}) AS d, bool_and(a_terms IS NULL) AS none FROM kinderminer_jobs GROUP BY id),
+l AS (SELECT id, created_at, CASE WHEN none THEN NULL ELSE d END AS d, timezone('America/Chicago', timezone('UTC', created_at)) AS here FROM j)
+SELECT id, 'finished' AS status, CASE WHEN length(d) > 80 THEN d[1:77] || '...' ELSE d END AS description, strftime(here, '%Y-%m-%d ') || CAST(strftime(here, '%I') AS INTEGER) || strftime(here, ':%M:%S %p') AS created, created_at FROM l""",
     "job_priority": "SELECT DISTINCT id, CAST(coalesce(len(a_terms), 0) + coalesce(len(b_terms), 0) + coalesce(len(c_terms), 0) AS INTEGER) AS n_terms, CASE WHEN coalesce(len(a_terms), 0) + coalesce(len(b_terms), 0) + coalesce(len(c_terms), 0) <= 50 THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM kinderminer_jobs",
     "worker_order": f"SELECT name, queue, CAST(0.9999 AS DOUBLE) AS progress FROM {_values([('w2', 'HIGH'), ('w4', 'MEDIUM'), ('w3', 'LOW'), ('w1', 'INDEXING'), ('w0', 'OTHER')], 'name, queue')}",
     "user_errors": f"SELECT * FROM {_values([('x -BEGIN USER-FACING ERROR- bad term -END USER-FACING ERROR- y', 'bad term'), ('Traceback', 'An error occurred during execution of this job.'), (None, None), ('-BEGIN USER-FACING ERROR- a -BEGIN USER-FACING ERROR- b', 'An error occurred during execution of this job.')], 'trace, message')}",
