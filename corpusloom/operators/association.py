@@ -99,6 +99,16 @@ class Sets:
         self.sizes = self.members.groupBy("term_no").agg(F.count(F.lit(1)).alias("n"))
         self.total = count_documents(corpus.docs, p.censor_year_lower, p.censor_year_upper).first()[0]
 
+    def _meet(self, wanted: DataFrame) -> DataFrame:
+        left = self.members.withColumnRenamed("term_no", "x_no").join(wanted.select("x_no").distinct(), "x_no", "left_semi")
+        right = self.members.select(F.col("term_no").alias("y_no"), "pmid").join(wanted.select("y_no").distinct(), "y_no", "left_semi")
+        return left.join(right, "pmid")
+
+    def meet(self, pairs: DataFrame) -> DataFrame:
+        """The documents that hold both terms of pairs (x_no, y_no)."""
+        wanted = pairs.select("x_no", "y_no").distinct()
+        return self._meet(wanted).join(wanted, ["x_no", "y_no"], "left_semi")
+
     def test(self, pairs: DataFrame, x: str, y: str) -> DataFrame:
         """pairs (x_no, y_no) with counts, ratio, p-value and score of the prefix xy; pairs that never meet too.
 
@@ -107,9 +117,7 @@ class Sets:
         """
         p, xy = self.p, f"{x}{y}"
         wanted = pairs.select("x_no", "y_no").distinct()
-        left = self.members.withColumnRenamed("term_no", "x_no").join(wanted.select("x_no").distinct(), "x_no", "left_semi")
-        right = self.members.select(F.col("term_no").alias("y_no"), "pmid").join(wanted.select("y_no").distinct(), "y_no", "left_semi")
-        meet = left.join(right, "pmid")
+        meet = self._meet(wanted)
         both = meet.groupBy("x_no", "y_no").agg(F.count(F.lit(1)).alias(f"{xy}_count"))
         nx, ny = (self.sizes.select(F.col("term_no").alias(f"{s}_no"), F.col("n").alias(f"{t}_count")) for s, t in (("x", x), ("y", y)))
         out = wanted.join(nx, "x_no", "left").join(ny, "y_no", "left").join(both, ["x_no", "y_no"], "left").fillna(0, [f"{x}_count", f"{y}_count", f"{xy}_count"])

@@ -5,15 +5,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import iteration_of
-from corpusloom.operators.association import Corpus, Params, Sets, UserError
+from corpusloom.operators.association import Corpus, Params, Sets, UserError, top_articles
 from corpusloom.operators.corpus import MAX_YEAR, MIN_YEAR
+from corpusloom.session import file_system
 
 #: Most iterations of a job; articles looked up where the caller gives none.
 MAX_ITERATIONS = 10
@@ -39,10 +40,12 @@ class EvaluationParams:
     id: str | None = None
 
     @classmethod
-    def of(cls, values: dict) -> EvaluationParams:
-        """From a payload; whatever a client calls its hypothesis of pairs (..._hypothesis) or of chains (..._hypotheses)."""
-        names = {k: "pair_hypothesis" if k.endswith("_hypothesis") else "chain_hypotheses" if k.endswith("_hypotheses") else k for k in values}
-        return cls(**{names[k]: v for k, v in values.items()})
+    def of(cls, values: dict, names: dict[str, str] | None = None) -> EvaluationParams:
+        """From a payload; names maps a client's own names of parameters to ours. Two names of one parameter are an error."""
+        ours = [(names or {}).get(k, k) for k in values]
+        if len(set(ours)) < len(ours):
+            raise UserError("a parameter is given twice")
+        return cls(**dict(zip(ours, values.values())))
 
     def validated(self) -> EvaluationParams:
         def need(ok: bool, text: str) -> None:
@@ -83,34 +86,34 @@ def year_windows(first: Column, last: Column, step: Column) -> Column:
     return F.when(step.isNull(), F.array(F.struct(first.alias("lo"), last.alias("hi")))).otherwise(F.coalesce(tiled, F.array().cast("array<struct<lo:int,hi:int>>")))
 
 
-def windows(first: int, last: int, step: int | None) -> list[tuple[int, int]]:
-    """year_windows on the driver."""
-    if step is None:
-        return [(first, last)]
-    edges = [*range(first, last + 1, step), last + 1]
-    return [(lo, after - 1) for lo, after in pairwise(edges)]
+def fill_articles(corpus: Corpus, data: list[dict], first: int, last: int, step: int | None = None) -> DataFrame:
+    """(entry, terms, article lists, lo, hi): the entries with their article lists in every window of a range of years.
 
-
-def fill_articles(corpus: Corpus, data: list[dict], first: int, last: int) -> DataFrame:
-    """The entries with their article lists; empty or missing lists are looked up (the most recent 1,000 articles)."""
+    Empty or missing lists are looked up (the most recent 1,000 articles); with a step all are, a window of so many years
+    at a time. There is one search for all windows: an article belongs to the window of its year.
+    """
     spark = corpus.spark
-    rows = [(i, x["a_term"], x["b_term"], x.get("c_term"), *[[str(p) for p in x.get(c) or []] for c in LISTS]) for i, x in enumerate(data)]
-    out = spark.createDataFrame(rows, "entry int, " + INPUT)
+    given = [[[str(p) for p in x.get(c) or []] if step is None else [] for c in LISTS] for x in data]
+    rows = [(i, x["a_term"], x["b_term"], x.get("c_term"), *lists) for i, (x, lists) in enumerate(zip(data, given))]
+    span = year_windows(F.lit(first), F.lit(last), F.lit(step).cast("int"))
+    out = spark.createDataFrame(rows, "entry int, " + INPUT).withColumn("w", F.explode(span)).select("*", "w.lo", "w.hi").drop("w")
     sides = {"ab": (1, 2), "bc": (2, 3), "ac": (1, 3)}
     p = Params([], [], censor_year_lower=first, censor_year_upper=last, return_pmids=True, top_n_articles_most_recent=LOOKED_UP)
     open_pairs = {xy: [(r[s], r[t]) for r in rows if r[s] is not None and r[t] is not None and not r[4 + LISTS.index(f"{xy}_pmid_intersection")]] for xy, (s, t) in sides.items()}
     names = [t for pairs in open_pairs.values() for pair in pairs for t in pair]
     if names:
         sets = Sets(corpus, names, p)
+        lo = F.lit(first) if step is None else F.lit(first) + F.floor((F.col("year") - first) / step).cast("int") * step
         for xy, pairs in open_pairs.items():
             if pairs:
                 x, y = xy
-                terms = sets.pairs(pairs)
-                found = sets.test(terms, x, y).join(terms, ["x_no", "y_no"]).select(F.col("x_term").alias(f"{x}_term"), F.col("y_term").alias(f"{y}_term"), F.transform(f"{xy}_pmid_intersection", lambda v: v.cast("string")).alias("_found"))
-                out = out.join(found, [f"{x}_term", f"{y}_term"], "left")
                 c = f"{xy}_pmid_intersection"
+                terms = sets.pairs(pairs)
+                tops = top_articles(sets.meet(terms).withColumn("lo", lo), ["x_no", "y_no", "lo"], p)
+                found = tops.join(terms, ["x_no", "y_no"]).select(F.col("x_term").alias(f"{x}_term"), F.col("y_term").alias(f"{y}_term"), "lo", F.transform("pmids", lambda v: v.cast("string")).alias("_found"))
+                out = out.join(found, [f"{x}_term", f"{y}_term", "lo"], "left")
                 out = out.withColumn(c, F.when(F.size(c) > 0, F.col(c)).otherwise(F.coalesce("_found", F.array().cast("array<string>")))).drop("_found")
-    return out.select("entry", "a_term", "b_term", "c_term", *LISTS)
+    return out.select("entry", "a_term", "b_term", "c_term", *LISTS, "lo", "hi")
 
 
 def quoted_list(pmids: Column | str) -> Column:
@@ -126,16 +129,58 @@ def scorer_input(data: DataFrame, chains: bool) -> DataFrame:
 
 
 def write_scorer_input(data: DataFrame, chains: bool, folder: str, config: dict) -> None:
-    """The job folder of the scorer: a job's entries as one tab-separated file with a header, its configuration as JSON."""
-    spark = data.sparkSession
-    scorer_input(data, chains).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "\u0000").csv(f"{folder}/data")
-    spark.createDataFrame([(json.dumps(config, indent=4),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/config")
+    """The job folder of the scorer: data.tsv with a header, files.txt with its name, config.json, and a folder output.
+
+    data are the entries of one job, as many as its client sent; they are streamed into the one file the scorer reads.
+    """
+    rows = scorer_input(data, chains)
+    fs, root = file_system(data.sparkSession, folder)
+    path = data.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
 
+    def write(name: str, lines: Iterator[str]) -> None:
+        out = fs.create(path(root, name), True)
+        try:
+            for line in lines:
+                out.write(bytearray(line.encode()))
+        finally:
+            out.close()
 
-def config_template(p: EvaluationParams, chains: bool) -> dict:
-    """What the scorer is told about a job, without any secrets."""
-    hypotheses = {"chain_hypotheses": p.chain_hypotheses} if chains else {"pair_hypothesis": p.pair_hypothesis}
-    return {"JOB_TYPE": "chains" if chains else ("direct_comparison" if p.is_dch else "pairs"), **hypotheses, "MODEL": p.model, "POST_N": p.post_n, "TOP_N_ARTICLES_MOST_CITED": p.top_n_articles_most_cited, "TOP_N_ARTICLES_MOST_RECENT": p.top_n_articles_most_recent, "ITERATIONS": p.iterations}
+    fs.mkdirs(path(root, "output"))
+    write("data.tsv", ("\t".join(r) + "\n" for r in chain([rows.columns], rows.toLocalIterator())))
+    write("files.txt", iter(["data.tsv\n"]))
+    write("config.json", iter([json.dumps(config, indent=4)]))
+
+
+#: Where the values of a job stand in a scorer's configuration, unless its caller says otherwise.
+PLACES = {
+    "JOB_TYPE": "JOB_TYPE", "pair_hypothesis": "pair_hypothesis", "chain_hypotheses": "chain_hypotheses", "MODEL": "MODEL", "POST_N": "POST_N",
+    "TOP_N_ARTICLES_MOST_CITED": "TOP_N_ARTICLES_MOST_CITED", "TOP_N_ARTICLES_MOST_RECENT": "TOP_N_ARTICLES_MOST_RECENT", "ITERATIONS": "ITERATIONS",
+    "censor_year_lower": "censor_year_lower", "censor_year_upper": "censor_year_upper", "is_dch": "is_dch",
+}
+
+
+def config_template(p: EvaluationParams, chains: bool, template: dict | None = None, places: dict[str, str] | None = None, job_types: tuple[str, str] = ("pairs", "chains")) -> dict:
+    """What the scorer is told about a job, without any secrets: a caller's template with the job's values in their places.
+
+    places maps values to dotted paths in the template, None leaving one out; the names of the wire format are the
+    caller's. The template is not changed.
+    """
+    values = {
+        "JOB_TYPE": job_types[chains], "pair_hypothesis": None if chains else p.pair_hypothesis, "chain_hypotheses": p.chain_hypotheses if chains else None,
+        "MODEL": p.model, "POST_N": p.post_n, "TOP_N_ARTICLES_MOST_CITED": p.top_n_articles_most_cited, "TOP_N_ARTICLES_MOST_RECENT": p.top_n_articles_most_recent,
+        "ITERATIONS": p.iterations if p.iterations > 1 else False, "censor_year_lower": p.censor_year_lower, "censor_year_upper": p.censor_year_upper, "is_dch": p.is_dch,
+    }
+    out = json.loads(json.dumps(template or {}))
+    for name, value in values.items():
+        place = (PLACES | (places or {}))[name]
+        if place is None or value is None:
+            continue
+        *above, last = place.split(".")
+        at = out
+        for k in above:
+            at = at.setdefault(k, {})
+        at[last] = value
+    return out
 
 
 def evaluate(corpus: Corpus, p: EvaluationParams, scorer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -145,16 +190,7 @@ def evaluate(corpus: Corpus, p: EvaluationParams, scorer: Callable[[Iterator[pd.
     an increment the callers' lists are replaced by those of each window.
     """
     p = p.validated()
-    spans = windows(p.censor_year_lower, p.censor_year_upper, p.censor_year_increment)
-    parts = []
-    for lo, hi in spans:
-        data = [{k: v for k, v in x.items() if k not in LISTS} for x in p.data] if p.censor_year_increment else p.data
-        parts.append(fill_articles(corpus, data, lo, hi).withColumns({"lo": F.lit(lo), "hi": F.lit(hi)}))
-    if not parts:
-        return corpus.spark.createDataFrame([], schema)
-    rows = parts[0]
-    for q in parts[1:]:
-        rows = rows.unionByName(q)
+    rows = fill_articles(corpus, p.data, p.censor_year_lower, p.censor_year_upper, p.censor_year_increment)
     return rows.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(p.iterations)))).mapInPandas(scorer, schema)
 
 

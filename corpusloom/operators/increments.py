@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import unquote
@@ -24,6 +25,10 @@ from corpusloom.session import file_system, scratch
 POSITION = ["file_path", "row_index"]
 
 
+#: File systems whose rename never replaces a file, so that of two writers one fails. Object stores need a put of their own.
+RENAMES = {"file", "hdfs", "viewfs", "abfs", "abfss"}
+
+
 class CommitConflict(RuntimeError):
     """Another writer has published this version already."""
 
@@ -33,6 +38,7 @@ class Manifest:
     version: int
     files: dict[str, str | None] = field(default_factory=dict)  # file -> folder of its deletion vector
     processed: int = 0  # the source version that this output covers
+    linked: dict[str, int] = field(default_factory=dict)  # versions of other tables that belong to this one
 
 
 def data_files(df: DataFrame) -> list[str]:
@@ -49,8 +55,12 @@ def with_positions(spark: SparkSession, files: list[str], columns: list[str] | N
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """put(path, content) -> bool publishes a manifest only if the path does not exist, in one step. Where renaming is not
+    such a step (RENAMES), as on object stores, a table can be read, but be written with a put of the caller's only.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, put: Callable[[str, bytes], bool] | None = None):
+        self.spark, self.root, self.put = spark, root.rstrip("/"), put
 
     def _path(self, version: int) -> str:
         return f"{self.root}/v{version:08d}.json"
@@ -74,49 +84,71 @@ class VersionedTable:
         return Manifest(**json.loads(text))
 
     def commit(self, manifest: Manifest) -> Manifest:
-        """Publishes a manifest by renaming it into place; an existing version raises CommitConflict."""
-        fs, target = file_system(self.spark, self._path(manifest.version))
-        _, temporary = file_system(self.spark, f"{self.root}/.{scratch(self.spark, 'manifest').rsplit('-', 1)[1]}")
+        """Publishes a manifest under its version's name; an existing version raises CommitConflict."""
+        content = json.dumps(manifest.__dict__).encode()
+        if not (self.put or self._renamed)(self._path(manifest.version), content):
+            raise CommitConflict(f"{self.root}: version {manifest.version} exists")
+        return manifest
+
+    def _renamed(self, path: str, content: bytes) -> bool:
+        fs, target = file_system(self.spark, path)
+        if fs.getUri().getScheme() not in RENAMES:
+            raise NotImplementedError(f"{path}: commits need a conditional put on this file system")
+        _, temporary = file_system(self.spark, f"{self.root}/.{uuid.uuid4().hex}")
         out = fs.create(temporary, True)
         try:
-            out.write(bytearray(json.dumps(manifest.__dict__).encode()))
+            out.write(bytearray(content))
         finally:
             out.close()
         if fs.exists(target) or not fs.rename(temporary, target):
             fs.delete(temporary, False)
-            raise CommitConflict(f"{self.root}: version {manifest.version} exists")
-        return manifest
+            return False
+        return True
+
+    def _written(self, df: DataFrame) -> list[str]:
+        """New files with records; a failed or repeated task leaves files that no manifest names."""
+        folder = f"{self.root}/data-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        return data_files(self.spark.read.schema(df.schema).parquet(folder))
 
-    def add_files(self, files: list[str], processed: int | None = None) -> Manifest:
-        """A version with further files, which stay where they are."""
+    def add_files(self, files: list[str], processed: int | None = None, base: Manifest | None = None) -> Manifest:
+        """A version with further files, which stay where they are; base instead of the latest version is what they add to."""
         now = self.latest()
-        return self.commit(Manifest(now.version + 1, now.files | dict.fromkeys(files), now.processed if processed is None else processed))
+        old = now if base is None else base
+        return self.commit(Manifest(now.version + 1, old.files | dict.fromkeys(files), now.processed if processed is None else processed))
 
-    def append(self, df: DataFrame, processed: int | None = None) -> Manifest:
-        """Writes records as new files; a failed or repeated task leaves files that no manifest names."""
-        folder = f"{self.root}/data-{scratch(self.spark, 'd').rsplit('-', 1)[1]}"
-        df.write.parquet(folder)
-        return self.add_files(data_files(self.spark.read.schema(df.schema).parquet(folder)), processed)
+    def append(self, df: DataFrame, processed: int | None = None, base: Manifest | None = None) -> Manifest:
+        return self.add_files(self._written(df), processed, base)
 
     def overwrite(self, df: DataFrame, processed: int | None = None) -> Manifest:
         """A version with the records of df only; df may read this table's earlier versions."""
         now = self.latest()
-        folder = f"{self.root}/data-{scratch(self.spark, 'd').rsplit('-', 1)[1]}"
-        df.write.parquet(folder)
-        files = data_files(self.spark.read.schema(df.schema).parquet(folder))
-        return self.commit(Manifest(now.version + 1, dict.fromkeys(files), now.processed if processed is None else processed))
+        return self.commit(Manifest(now.version + 1, dict.fromkeys(self._written(df)), now.processed if processed is None else processed, now.linked))
 
-    def delete_rows(self, positions: DataFrame) -> Manifest:
-        """A version without the rows at (file_path, row_index), in addition to those gone before."""
+    def replace_rows(self, positions: DataFrame | None, df: DataFrame, processed: int | None = None, linked: dict[str, int] | None = None) -> Manifest:
+        """A version without the rows at some positions and with the records of df: what is written is as large as the change.
+
+        positions and df may read this table's latest version. processed and linked are kept unless they are given.
+        """
         now = self.latest()
+        files = now.files if positions is None or not now.files else self._without(now, positions)
+        files = files | dict.fromkeys(self._written(df))
+        return self.commit(Manifest(now.version + 1, files, now.processed if processed is None else processed, now.linked if linked is None else linked))
+
+    def _without(self, now: Manifest, positions: DataFrame) -> dict[str, str | None]:
         olds = sorted({d for d in now.files.values() if d})
         gone = positions.select(*POSITION)
         if olds:
             gone = gone.unionByName(self.spark.read.parquet(*olds).select(*POSITION)).distinct()
-        folder = f"{self.root}/dv-{scratch(self.spark, 'd').rsplit('-', 1)[1]}"
+        folder = f"{self.root}/dv-{uuid.uuid4().hex}"
         gone.write.parquet(folder)
         touched = {r[0] for r in self.spark.read.parquet(folder).select("file_path").distinct().collect()}  # at most the files of the manifest
-        return self.commit(Manifest(now.version + 1, {f: folder if f in touched else None for f in now.files}, now.processed))
+        return {f: folder if f in touched else None for f in now.files}
+
+    def delete_rows(self, positions: DataFrame) -> Manifest:
+        """A version without the rows at (file_path, row_index), in addition to those gone before."""
+        now = self.latest()
+        return self.commit(Manifest(now.version + 1, self._without(now, positions), now.processed, now.linked))
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.latest() if version is None else self.manifest(version)
@@ -130,9 +162,12 @@ def _vector(spark: SparkSession, files: dict[str, str | None]) -> DataFrame | No
 
 
 def _live(spark: SparkSession, files: dict[str, str | None]) -> DataFrame:
-    rows = with_positions(spark, sorted(files))
-    gone = _vector(spark, files)
-    return rows if gone is None else rows.join(gone, POSITION, "left_anti")
+    """The rows of these files; only files with a deletion vector are compared with it."""
+    plain, marked = sorted(f for f, d in files.items() if d is None), sorted(f for f, d in files.items() if d)
+    parts = [with_positions(spark, plain)] if plain else []
+    if marked:
+        parts.append(with_positions(spark, marked).join(_vector(spark, {f: files[f] for f in marked}), POSITION, "left_anti"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def changes(spark: SparkSession, old: Manifest, new: Manifest) -> DataFrame | None:

@@ -367,14 +367,22 @@ def missing_iterations(spark, d):
 
 
 def xml_ingest(spark, d):
-    """The canonical documents written as gzipped XML files and read again."""
+    """The canonical documents written as gzipped XML files and read again.
+
+    A third of them has the year in the completion date only and a third in the free text of the date; abstracts have two
+    parts.
+    """
     out = scratch(spark, "xml")
-    date = F.struct(F.struct(F.col("pub_year").cast("string").alias("Year")).alias("PubDate")).alias("JournalIssue")
-    article = F.struct(F.struct(date).alias("Journal"), F.col("title").alias("ArticleTitle"), F.struct(F.array("abstract").alias("AbstractText")).alias("Abstract"))
-    citation = F.struct(F.struct(F.col("pmid").cast("string").alias("_VALUE"), F.lit("1").alias("_Version")).alias("PMID"), article.alias("Article"))
+    form = F.col("pmid") % 3
+    year = F.col("pub_year").cast("string")
+    issue = F.struct(F.when(form == 0, year).alias("Year"), F.when(form == 2, F.concat(F.lit("Winter "), year, F.lit(" Jan-Feb"))).alias("MedlineDate"))
+    date = F.struct(F.struct(issue.alias("PubDate")).alias("JournalIssue"))
+    parts = F.array(F.substring("abstract", 1, 50), F.expr("substring(abstract, 51)"))
+    article = F.struct(date.alias("Journal"), F.col("title").alias("ArticleTitle"), F.struct(parts.alias("AbstractText")).alias("Abstract"))
+    completed = F.struct(F.when(form == 1, year).alias("Year"))
+    citation = F.struct(F.struct(F.col("pmid").cast("string").alias("_VALUE"), F.lit("1").alias("_Version")).alias("PMID"), completed.alias("DateCompleted"), article.alias("Article"))
     docs(spark, d).select(citation.alias("MedlineCitation")).write.format("xml").options(rowTag="PubmedArticle", rootTag="PubmedArticleSet", compression="gzip").save(out)
-    read = records.read_articles(spark, out)
-    return read.select("pmid", "pub_year", F.coalesce(F.length("title"), F.lit(0)).alias("title_length"), F.coalesce(F.length("abstract"), F.lit(0)).alias("abstract_length"))
+    return records.read_articles(spark, out).select("pmid", "pub_year", "title", "abstract")
 
 
 def icite_ingest(spark, d):
@@ -644,7 +652,8 @@ SELECT pmid, CAST(coalesce(y, pub_year) AS INTEGER) AS pub_year, title, coalesce
     "parse_results": f"SELECT * REPLACE (CAST(score AS DOUBLE) AS score) FROM {_values(_RES, _RES_COLUMNS)}",
     "iteration_from_path": f"SELECT * FROM {_values(list(zip(PATHS, [3, None, 2, 10])), 'path, iteration')}",
     "missing_iterations": "SELECT 2 AS iteration UNION ALL SELECT 4",
-    "xml_ingest": "SELECT pmid, pub_year, CAST(length(regexp_replace(title, '</?[A-Za-z][^<>]*>', '', 'g')) AS INTEGER) AS title_length, CAST(length(regexp_replace(abstract, '</?[A-Za-z][^<>]*>', '', 'g')) AS INTEGER) AS abstract_length FROM canonical_documents",
+    "xml_ingest": r"""SELECT pmid, CAST(CASE WHEN pub_year IS NULL OR pmid % 3 = 2 AND NOT regexp_matches(CAST(pub_year AS VARCHAR), '^(1\d\d\d|20\d\d)$') THEN 99999 ELSE pub_year END AS INTEGER) AS pub_year,
+regexp_replace(title, '</?[A-Za-z][^<>]*>', '', 'g') AS title, regexp_replace(substr(abstract, 1, 50), '</?[A-Za-z][^<>]*>', '', 'g') || ' ' || regexp_replace(substr(abstract, 51), '</?[A-Za-z][^<>]*>', '', 'g') AS abstract FROM canonical_documents""",
     "icite_ingest": f"WITH {_DOCS} SELECT pmid, cites + 1 AS citation_count FROM docs",
     "job_listing": """WITH j AS (SELECT id, max(created_at) AS created_at, arg_max(coalesce(array_to_string(a_terms, ', '), ''), {'a': created_at, 'b': coalesce(array_to_string(a_terms, ', '), '')}) AS d, bool_and(a_terms IS NULL) AS none FROM kinderminer_jobs GROUP BY id),
 l AS (SELECT id, created_at, CASE WHEN none THEN NULL ELSE d END AS d, timezone('America/Chicago', timezone('UTC', created_at)) AS here FROM j)

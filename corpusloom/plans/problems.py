@@ -10,6 +10,7 @@ from corpusloom.operators import increments, orphans, skew
 from corpusloom.operators.dedup import once_per_id
 from corpusloom.operators.postings import fragment_postings
 from corpusloom.plans.tables import path, table
+from corpusloom.session import scratch
 
 PROBS = [0.0, 0.25, 0.5, 0.9, 1.0]
 
@@ -49,6 +50,43 @@ def p3_changes(spark: SparkSession, d: str) -> DataFrame:
     return increments.state_delta(spark, path(d, "document_versions"), table(spark, d, "index_runs"))
 
 
+def p3_process(spark: SparkSession, d: str) -> DataFrame:
+    """What a consumer has of every row of a table after added files, deletion vectors and rewritten files, with failed runs.
+
+    The rows arrive in two batches; then those that a later one of their uuid replaces are marked as gone, and the rest is
+    written to other files. n is what is left of a row by the consumer's records, n_records their number.
+    """
+    source, sink = (increments.VersionedTable(spark, scratch(spark, t)) for t in ("source", "sink"))
+    rows = table(spark, d, "document_versions").select("uuid", "seq", "run_id", "changed_at")
+
+    def kept(delta: DataFrame) -> DataFrame:
+        return delta.select("uuid", "seq", "change")
+
+    def lost(delta: DataFrame) -> DataFrame:
+        kept(delta).write.parquet(f"{sink.root}/data-lost-{source.latest().version}")  # output of a run that ends before its commit
+        raise InterruptedError
+
+    def run() -> None:
+        try:
+            increments.process_new(source, sink, lost)
+        except InterruptedError:
+            pass
+        increments.process_new(source, sink, kept)
+
+    source.append(rows.where("run_id IS NOT NULL"))
+    run()
+    source.append(rows.where("run_id IS NULL"))
+    run()
+    now = source.read()
+    last = now.where("uuid IS NOT NULL").groupBy("uuid").agg(F.max(F.struct("seq", "changed_at", *increments.POSITION)).alias("m")).select("m.*").select(*increments.POSITION)
+    source.delete_rows(now.join(last, increments.POSITION, "left_anti"))
+    run()
+    source.overwrite(source.read().drop(*increments.POSITION))
+    run()
+    net = F.sum(F.when(F.col("change") == "insert", 1).otherwise(-1))
+    return sink.read().groupBy("uuid", "seq").agg(net.alias("n"), F.count(F.lit(1)).alias("n_records"))
+
+
 def _relationship_keys(spark: SparkSession, d: str) -> list[orphans.ForeignKey]:
     rel = once_per_id(table(spark, d, "relationships"), "rel_id", ["loaded_at", "head", "evidence"]).select(F.col("rel_id").cast("string").alias("child_id"), "head", "evidence", F.col("loaded_at").alias("as_of"))
     docs = table(spark, d, "canonical_documents").select(F.col("pmid").cast("string").alias("target_key"), F.col("pmid").cast("string").alias("parent_id"), F.col("loaded_at").alias("live_from"), F.col("deleted_at").alias("live_until"))
@@ -83,7 +121,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(orphans.find_orphans(graph))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p1_percentiles, p1_postings, p3_found, p3_changes, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p1_percentiles, p1_postings, p3_found, p3_changes, p3_process, p6_found, p6_report)}
 
 _POSTINGS = """
 WITH frag AS (SELECT DISTINCT frag_id, lower(trim(ngram)) AS ngram, data FROM fragmented_shard),
@@ -118,6 +156,8 @@ SELECT ngram, CAST(sum(weight) AS BIGINT) AS n, count(pmid) AS n_distinct, arg_m
 SELECT ngram, CAST(floor(pmid / 4096) AS BIGINT) AS block_no, count(*) AS n_values, list(pmid ORDER BY pmid) AS pmids, list(weight ORDER BY pmid) AS weights, list(array_to_string(pos, ' ') ORDER BY pmid) AS positions FROM o GROUP BY 1, 2""",
     "p3_found": _STATE + "SELECT uuid FROM top WHERE rn = 1 AND NOT taken",
     "p3_changes": _STATE.replace("SELECT DISTINCT v.uuid", "SELECT v.uuid") + "SELECT uuid, seq, CASE WHEN rn = 1 THEN 'insert' ELSE 'delete' END AS change FROM top WHERE (rn = 1) = (NOT taken)",
+    "p3_process": """WITH c AS (SELECT uuid, seq, count(*) AS n FROM document_versions GROUP BY uuid, seq), t AS (SELECT uuid, max(seq) AS seq FROM c WHERE uuid IS NOT NULL GROUP BY uuid)
+SELECT c.uuid, c.seq, CAST(t.uuid IS NOT NULL AS BIGINT) AS n, CASE WHEN t.uuid IS NULL THEN 2 * n ELSE 2 * n + 1 END AS n_records FROM c LEFT JOIN t ON t.uuid = c.uuid AND t.seq = c.seq""",
     "p6_found": _REL + "SELECT rel_id, 'evidence' AS field_name, target_key FROM miss UNION ALL SELECT rel_id, 'head', target_key FROM nohead",
     "p6_report": _REL
     + """, v0 AS (SELECT DISTINCT uuid, changed_at, run_id FROM document_versions WHERE run_id IS NOT NULL AND run_id NOT IN (SELECT run_id FROM index_runs)),

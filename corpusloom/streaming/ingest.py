@@ -14,10 +14,9 @@ def merge_batch(engine: Engine, batch: DataFrame, batch_id: int) -> None:
 
     The stream's batch number is stored with the documents' version, in the same commit.
     """
-    if batch_id < engine.processed():
-        return
-    engine.add_documents(batch, processed=batch_id + 1)
-    engine.index()
+    if batch_id >= engine.processed():
+        engine.add_documents(batch, processed=batch_id + 1)
+    engine.index()  # also if the last run failed between the two
 
 
 def ingest_folder(spark: SparkSession, folder: str, engine: Engine, checkpoint: str, files_per_batch: int = 100, archive: str | None = None):

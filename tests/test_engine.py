@@ -1,11 +1,17 @@
 """One scenario end to end: versions, citation updates, index, counts, phrases, years, re-opening."""
 
 import json
+import threading
 import time
 
+import pytest
+
 from corpusloom.api import Engine
+from corpusloom.operators.association import UserError
 from corpusloom.operators.corpus import SCHEMA
+from corpusloom.operators.increments import VersionedTable
 from corpusloom.operators.index import build_postings
+from corpusloom.operators.jobs import JobQueue
 from corpusloom.session import scratch
 from corpusloom.streaming.ingest import ingest_folder, merge_batch
 from tests.conftest import rows
@@ -102,3 +108,62 @@ def test_loading_files_and_kept_terms(spark, tmp_path):
     e.add_documents(spark.createDataFrame([doc(4, "common", 1)], ROW))
     e.index()
     assert found(e, "common|word9") == {1, 2, 3, 4}
+
+
+def test_only_changed_documents_are_written_again(spark):
+    e = Engine(spark, scratch(spark, "engine"))
+    e.add_documents(spark.createDataFrame([doc(i, f"old word{i}", i) for i in range(1, 21)], ROW))
+    e.index()
+    e.compact()
+    files = dict(e._table("postings").latest().files)
+    stages = []
+    e.add_documents(spark.createDataFrame([doc(3, "new word3", 30), doc(40, "new word40", 31)], ROW))
+    assert e.unindexed() == 2 and e.documents().count() == 21
+    e.index(stages.append)
+    now = e._table("postings").latest().files
+    assert set(files) < set(now) and any(now[f] for f in files)  # the files stay, some with a deletion vector
+    assert sorted(stages) == stages and len(stages) == 3 and e.unindexed() == 0
+    assert found(e, "old") == {i for i in range(1, 21) if i != 3} and found(e, "new") == {3, 40} and found(e, "old word3") == set()
+    fresh = build_postings(e.documents())
+    assert rows(e.postings().select(*fresh.columns)) == rows(fresh)
+    e.compact()
+    assert rows(e.postings().select(*fresh.columns)) == rows(fresh) and not any(e._table("postings").latest().files.values())
+    e.index()
+    assert rows(e.postings().select("ngram", "pmid", "pos")) == rows(fresh.select("ngram", "pmid", "pos"))
+
+
+def test_versions_of_an_update_that_failed_do_not_show(spark, monkeypatch):
+    e = Engine(spark, scratch(spark, "engine"))
+    e.add_documents(spark.createDataFrame([doc(1, "first", 1)], ROW))
+    replace = VersionedTable.replace_rows
+
+    def fails(self, *args):
+        raise OSError("executor lost")
+
+    monkeypatch.setattr(VersionedTable, "replace_rows", fails)
+    with pytest.raises(OSError):
+        e.add_documents(spark.createDataFrame([doc(1, "second", 2)], ROW))
+    monkeypatch.setattr(VersionedTable, "replace_rows", replace)
+    assert {r["abstract"] for r in e.versions().collect()} == {"first"} and e.documents().first()["abstract"] == "first"
+    e.add_documents(spark.createDataFrame([doc(1, "third", 3)], ROW))
+    assert {r["abstract"] for r in e.versions().collect()} == {"first", "third"} and [r["abstract"] for r in e.documents().collect()] == ["third"]
+
+
+def test_order_of_jobs(spark):
+    q = JobQueue(spark, 1)
+    assert q.fair
+    gate, order = threading.Event(), []
+    first = q.submit(lambda job: gate.wait(60))
+    while q.get(first)["status"] != "started":
+        time.sleep(0.01)
+    for name, queue in (("low", "LOW"), ("high", "HIGH"), ("index", "INDEXING"), ("late", "HIGH"), ("medium", "MEDIUM")):
+        q.submit(lambda job, n=name: order.append(n), queue, name)
+    with pytest.raises(UserError):
+        q.submit(lambda job: None, "INDEXING")
+    q.cancel("medium")
+    gate.set()
+    deadline = time.time() + 60
+    while any(q.get(x)["status"] in ("queued", "started") for x in ("low", "high", "index", "late")) and time.time() < deadline:
+        time.sleep(0.01)
+    assert order == ["high", "low", "index", "late"]  # what came before the indexing job by priority, then the rest
+    assert q.get("medium")["status"] == "canceled"

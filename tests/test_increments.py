@@ -104,3 +104,27 @@ def test_state_delta_of_empty_tables(spark):
     empty = spark.createDataFrame([], RUN)
     assert I.state_delta(spark, write(spark, []), empty).collect() == []
     assert [r["uuid"] for r in I.state_delta(spark, write(spark, [("a", 0, 1, NOW, 5, "")]), empty).collect()] == ["a"]
+
+
+def test_rows_replaced_in_one_commit(spark, tables):
+    t, _ = tables
+    v1 = t.append(put(spark, [(1, "a"), (2, "b")]))
+    v2 = t.replace_rows(t.read().where("id = 2"), put(spark, [(2, "B"), (3, "c")]), linked={"other": 4})
+    assert delta(spark, v1, v2) == [(2, "B", "insert"), (2, "b", "delete"), (3, "c", "insert")] and v2.linked == {"other": 4}
+    v3 = t.append(put(spark, [(9, "z")]), base=v1)
+    assert rows(t.read().select("id", "v")) == [(1, "a"), (2, "b"), (9, "z")] and v3.version == 3
+    t.replace_rows(None, put(spark, [(5, "e")]))
+    assert t.read().count() == 4
+
+
+def test_commits_need_a_put_where_renaming_is_none(spark, tables, monkeypatch):
+    t, _ = tables
+    monkeypatch.setattr(I, "RENAMES", {"hdfs"})
+    with pytest.raises(NotImplementedError):
+        t.append(put(spark, [(1, "a")]))
+    store = {}
+    u = I.VersionedTable(spark, t.root, lambda path, content: store.setdefault(path, content) is content)
+    u.append(put(spark, [(1, "a")]))
+    with pytest.raises(I.CommitConflict):  # another writer's manifest of the same version is there
+        u.append(put(spark, [(2, "b")]))
+    assert len(store) == 1

@@ -59,7 +59,7 @@ def test_windows(spark):
     cases = {(2020, 2025, None): [(2020, 2025)], (2020, 2022, 1): [(2020, 2020), (2021, 2021), (2022, 2022)], (2020, 2025, 2): [(2020, 2021), (2022, 2023), (2024, 2025)], (2020, 2024, 2): [(2020, 2021), (2022, 2023), (2024, 2024)], (2020, 2020, 1): [(2020, 2020)], (2020, 2020, 5): [(2020, 2020)], (2022, 2020, 1): []}
     df = spark.createDataFrame(list(cases), "a int, b int, s int")
     for r in df.select("a", "b", "s", H.year_windows(F.col("a"), F.col("b"), F.col("s")).alias("w")).collect():
-        assert [tuple(x) for x in r["w"]] == cases[r["a"], r["b"], r["s"]] == H.windows(*r[:3])
+        assert [tuple(x) for x in r["w"]] == cases[r["a"], r["b"], r["s"]]
 
 
 PAIR = {"data": [{"a_term": "a", "b_term": "b"}], "pair_hypothesis": "{a_term} {b_term}"}
@@ -68,7 +68,12 @@ CHAIN = {"data": [{"a_term": "a", "b_term": "b", "c_term": "c"}], "chain_hypothe
 
 def test_evaluation_parameters():
     assert H.EvaluationParams(**PAIR).validated().iterations == 1 and H.EvaluationParams(**CHAIN).validated().censor_year_increment is None
-    assert H.EvaluationParams.of({"data": [], "x_hypothesis": "h", "y_hypotheses": {}}) == H.EvaluationParams([], "h", {})
+    names = {"x_hypothesis": "pair_hypothesis", "y_hypotheses": "chain_hypotheses"}
+    assert H.EvaluationParams.of({"data": [], "x_hypothesis": "h", "y_hypotheses": {}}, names) == H.EvaluationParams([], "h", {})
+    with pytest.raises(UserError):
+        H.EvaluationParams.of({"data": [], "x_hypothesis": "h", "pair_hypothesis": "g"}, names)
+    with pytest.raises(TypeError):
+        H.EvaluationParams.of({"data": [], "z_hypothesis": "h"}, names)
     for ok in (1, 3, 10):
         H.EvaluationParams(**PAIR, iterations=ok).validated()
     two = [{"a_term": "a", "b_term": "b"}, {"a_term": "a", "b_term": "c"}]
@@ -117,9 +122,13 @@ def test_evaluate(spark):
 def test_scorer_files(spark, tmp_path):
     data = spark.createDataFrame([("a", "b", None, ["1", "2"], [], [])], H.INPUT)
     H.write_scorer_input(data, False, str(tmp_path / "j"), H.config_template(H.EvaluationParams(**PAIR), False))
-    text = "".join(p.read_text() for p in (tmp_path / "j/data").glob("*.csv"))
-    assert text == "a_term\tb_term\tab_pmid_intersection\na\tb\t['1', '2']\n"
-    assert '"MODEL": "o3-mini"' in "".join(p.read_text() for p in (tmp_path / "j/config").glob("*.txt"))
+    assert (tmp_path / "j/data.tsv").read_text() == "a_term\tb_term\tab_pmid_intersection\na\tb\t['1', '2']\n"
+    assert (tmp_path / "j/files.txt").read_text() == "data.tsv\n" and (tmp_path / "j/output").is_dir()
+    assert json.loads((tmp_path / "j/config.json").read_text())["MODEL"] == "o3-mini"
+    template = {"SETTINGS": {"MODEL": "", "DELAY": 10}, "JOBS": {"one": {"position": False}}}
+    got = H.config_template(H.EvaluationParams(**PAIR, iterations=3), False, template, {"MODEL": "SETTINGS.MODEL", "pair_hypothesis": "HYPOTHESIS", "is_dch": "JOBS.one.is_dch", "POST_N": None}, ("one", "three"))
+    assert got["SETTINGS"] == {"MODEL": "o3-mini", "DELAY": 10} and got["HYPOTHESIS"] == "{a_term} {b_term}" and got["JOBS"] == {"one": {"position": False, "is_dch": False}}
+    assert got["JOB_TYPE"] == "one" and got["ITERATIONS"] == 3 and "POST_N" not in got and template["SETTINGS"]["MODEL"] == ""
     assert H.scorer_input(data, True).columns[3:] == H.LISTS
 
 

@@ -49,3 +49,27 @@ def test_scores(spark):
 def test_unknown_test():
     with pytest.raises(ValueError):
         stats.p_value(None, None, None, None, "t-test")
+
+
+def test_batches_agree_with_exact_sums():
+    import random
+    from fractions import Fraction
+    from math import comb
+
+    import numpy as np
+
+    from corpusloom.functions import stats as S
+
+    r = random.Random(3)
+    tables = []
+    for _ in range(300):
+        n = r.choice([5, 40, 300, 900])
+        a, b = r.randint(0, n), r.randint(0, n)
+        tables.append((r.randint(max(0, a + b - n), min(a, b)), a, b, n))
+    got = S.hypergeometric_tails(*np.array(tables).T)
+    for (k, a, b, n), p in zip(tables, got):
+        margin = k <= 0 or a >= n or b >= n or a <= 0 or b <= 0
+        want = 1.0 if margin else float(Fraction(sum(comb(a, i) * comb(n - a, b - i) for i in range(k, min(a, b) + 1)), comb(n, b)))
+        assert abs(p - want) <= 1e-9 * max(want, 1e-3)
+    assert S.hypergeometric_tails(*np.zeros((4, 0), int)).tolist() == [] and S.yates_ps(*np.zeros((4, 0), int)).tolist() == []
+    assert 0 < S.hypergeometric_tail(5000, 20_000, 30_000, 40_000_000) < 1e-300 or S.hypergeometric_tail(5000, 20_000, 30_000, 40_000_000) == 0.0
