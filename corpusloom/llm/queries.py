@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import trimmed_lower
+from corpusloom.functions.text import words
 from corpusloom.llm import cooccurrence, frequencies, mixing, near_duplicates, packing, splitting
 from corpusloom.llm.tokens import token_counts
 from corpusloom.operators.dedup import once_per_id
@@ -84,6 +84,22 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, d), _limits(spark, d, "container"))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Documents placed under each container limit, and faults: rooms exceeded, parts that do not join to the document, whole documents split, fewer containers than tokens ask for."""
+    limits = _limits(spark, d, "container").select("limit_name", F.col("max_tokens").cast("long").alias("max_tokens")).distinct()
+    packed = materialize(p7_containers(spark, d), "packed")
+    sizes = table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.size(words("text")).alias("words"))
+    room = packed.where("container_id IS NOT NULL").groupBy("limit_name", "container_id").agg(F.sum("n_tokens").alias("used")).join(limits, "limit_name")
+    rooms = room.groupBy("limit_name").agg(F.count_if(F.col("used") > F.col("max_tokens")).alias("over"), F.count(F.lit(1)).alias("n"), F.ceil(F.sum("used") / F.max("max_tokens")).alias("least"))
+    after = F.lag("token_end", 1, 0).over(Window.partitionBy("limit_name", "doc_id").orderBy("part_no"))
+    parts = packed.withColumn("gap", (F.col("token_start") != after).cast("int"))
+    docs = parts.groupBy("limit_name", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("tokens"), F.sum("gap").alias("gaps"), F.count("container_id").alias("placed"))
+    docs = docs.join(sizes, "doc_id").join(limits, "limit_name")
+    wrong = (F.col("gaps") > 0) | (F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("max_tokens")))) | (F.col("tokens") > F.coalesce("bytes", F.lit(0))) | (F.col("tokens") < F.coalesce(F.greatest("words", F.lit(0)), F.lit(0)))
+    per = docs.groupBy("limit_name", "max_tokens").agg(F.count_if(F.col("placed") > 0).alias("n_placed"), F.count_if(F.col("placed") == 0).alias("n_empty"), F.count_if(wrong).alias("wrong"))
+    return per.join(rooms, "limit_name").select("limit_name", "max_tokens", "n_placed", "n_empty", (F.col("wrong") + F.col("over") + (F.col("n") < F.col("least")).cast("int")).alias("n_faults"))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """Copies of each document in each plan."""
     targets = table(spark, d, "mix_targets")
@@ -96,13 +112,48 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """The share each source should have of its plan, and faults: too many copies, tokens off by a document that could have been taken or left."""
+    targets, docs = table(spark, d, "mix_targets"), table(spark, d, "documents")
+    tokens = materialize(token_counts(docs.join(targets.select("source").distinct(), "source", "left_semi"), "text", ["doc_id", "source"]), "counted")
+    plans = mixing.plan_totals(targets, tokens).withColumn("share", F.col("wanted") / F.sum("wanted").over(Window.partitionBy("mix_plan")))
+    mixed = p8_mix(spark, d).select("mix_plan", "doc_id", "copies")
+    each = plans.join(tokens.withColumnRenamed("tokens", "t"), "source", "left").join(mixed, ["mix_plan", "doc_id"], "left").fillna(0, ["copies"])
+    size = F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
+    per = each.groupBy("mix_plan", "source", "share", "wanted", "max_repeats").agg(
+        F.coalesce(F.sum(F.col("copies") * F.col("n_tokens")), F.lit(0)).alias("got"),
+        F.max("copies").alias("most"),
+        F.min(F.when(F.col("copies") < F.col("max_repeats"), size)).alias("could_add"),
+        F.min(F.when(F.col("copies") > 0, size)).alias("could_drop"),
+    )
+    off = F.round("wanted") - F.col("got")
+    wrong = (F.col("most") > F.col("max_repeats")).cast("int") + F.coalesce((off > 0) & (off >= F.col("could_add")), F.lit(False)).cast("int") + F.coalesce((off < 0) & (-off >= F.col("could_drop")), F.lit(False)).cast("int")
+    return per.select("mix_plan", "source", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"), "max_repeats", wrong.alias("n_faults"))
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of all documents above each piece limit."""
     limits = [tuple(r) for r in _limits(spark, d, "piece").select("limit_name", "max_tokens", "overlap_tokens").distinct().orderBy("limit_name").collect()]  # settings
     return splitting.split_texts(table(spark, d, "documents"), "doc_id", "text", limits)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_counts, p5_counts_deep, p7_containers, p7_fill, p8_mix, p8_shares, p9_pieces)}
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """The hash of every text put together again from its pieces, or of the text itself if it was not split, and faults: pieces above the limit, gaps, a text split or left whole that cannot be."""
+    pieces = materialize(p9_pieces(spark, d), "pieces")
+    limits = _limits(spark, d, "piece").select("limit_name", "max_tokens").distinct()
+    before = F.lag("char_end", 1, 0).over(Window.partitionBy("limit_name", "doc_id").orderBy("piece_no"))
+    own = pieces.withColumn("before", before).join(limits, "limit_name")
+    own = own.select("limit_name", "doc_id", "piece_no", F.expr("substring(piece, cast(before - char_start + 1 as int))").alias("own"), ((F.col("char_start") > F.col("before")) | (F.col("n_tokens") > F.col("max_tokens")) & (F.length("piece") > 1)).cast("int").alias("wrong"))
+    again = own.groupBy("limit_name", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "").alias("again"), F.sum("wrong").alias("wrong"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    names = F.array(*[F.struct(F.lit(r[0]).alias("limit_name"), F.lit(r[1]).alias("most")) for r in limits.collect()])  # settings
+    each = docs.withColumn("l", F.explode(names)).select("doc_id", "text", "l.*").join(again, ["limit_name", "doc_id"], "left")
+    must, may = F.size(words("text")) > F.col("most"), F.octet_length("text") > F.col("most")
+    wrong = F.coalesce("wrong", F.lit(0)) + F.coalesce(must & F.col("again").isNull(), F.lit(False)).cast("int") + F.coalesce(~may & F.col("again").isNotNull(), F.lit(False)).cast("int")
+    return each.select("limit_name", "doc_id", F.md5(F.coalesce("again", "text")).alias("text_md5"), wrong.alias("n_faults"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_pairs, p5_found, p5_counts, p5_counts_deep, p7_containers, p7_fill, p7_check, p8_mix, p8_shares, p8_check, p9_pieces, p9_check)}
 
 _W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _ALL_TEXT = _W.format("coalesce(title, '') || ' ' || coalesce(abstract, '')")
@@ -152,4 +203,10 @@ SELECT v.pmid, c.first AS class_pmid, (SELECT min(o.first) FROM r JOIN c o ON o.
     "p5_found": _P5 + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p5_counts": _P5 + "SELECT * FROM m",
     "p5_counts_deep": _P5 + "SELECT * FROM m",
+    # the tokenizer decides sizes, so SQL has what must hold whatever they are
+    "p7_check": """SELECT limit_name, CAST(max_tokens AS BIGINT) AS max_tokens, (SELECT count(*) FROM documents WHERE text <> '') AS n_placed, (SELECT count(*) FROM documents WHERE text IS NULL OR text = '') AS n_empty, CAST(0 AS BIGINT) AS n_faults
+FROM (SELECT DISTINCT limit_name, max_tokens FROM size_limits WHERE purpose = 'container')""",
+    "p8_check": """WITH s AS (SELECT source FROM documents WHERE text <> '' GROUP BY source), u AS (SELECT t.*, CASE WHEN s.source IS NULL THEN 0 ELSE target_share END AS usable FROM mix_targets t LEFT JOIN s USING (source))
+SELECT mix_plan, source, round(usable / sum(usable) OVER (PARTITION BY mix_plan), 6) AS share, max_repeats, CAST(0 AS INTEGER) AS n_faults FROM u""",
+    "p9_check": "SELECT limit_name, doc_id, md5(text) AS text_md5, CAST(0 AS BIGINT) AS n_faults FROM documents, (SELECT DISTINCT limit_name FROM size_limits WHERE purpose = 'piece')",
 }
