@@ -49,10 +49,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut and an executor's loss costs nothing."""
+def materialize(df: DataFrame, tag: str, hashes: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage is cut and an executor's loss costs nothing.
+
+    hashes says that most of it are hash values, for which Parquet need not try dictionaries.
+    """
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**({"parquet.enable.dictionary": "false"} if hashes else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
