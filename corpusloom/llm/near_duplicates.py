@@ -62,7 +62,7 @@ def text_classes(docs: DataFrame, key: str, text: Column, n: int, min_words: int
     for seed in range(8):
         found = materialize(texts.select("key", "t", F.xxhash64("t", F.lit(seed)).alias("cid"), F.xxhash64(F.lit(-1 - seed), "t").alias("check")), "texts")
         classes = found.groupBy("cid").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("t").alias("t"))
-        classes = materialize(classes.select("cid", F.col("lo").eqNullSafe(F.col("hi")).alias("sound"), F.get(F.transform(F.array(F.split("t", " ")), lambda w: shingles(w, n)), 0).alias("bits")), "classes")  # the words are bound once
+        classes = materialize(classes.select("cid", F.col("lo").eqNullSafe(F.col("hi")).alias("sound"), F.get(F.transform(F.array(F.split("t", " ")), lambda w: shingles(w, n)), 0).alias("bits")), "classes", hashes=True)  # the words are bound once
         if classes.where(~F.col("sound")).isEmpty():
             return materialize(found.select("key", "cid").distinct(), "members"), classes.select("cid", F.size("bits").alias("a"), "bits")
     raise RuntimeError("no seed keeps the texts' hashes apart")
@@ -159,7 +159,10 @@ def _size_class(a: np.ndarray, p: int, q: int) -> np.ndarray:
 
 
 def _texts(cid: np.ndarray, code: np.ndarray, bit: np.ndarray, df: np.ndarray, p: int, q: int, hot_from: int) -> pa.RecordBatch:
-    """Whole texts, a row (cid, pos of a) for each bit: (cid, a, pos, bits, keys, probes, parities) of those that keep enough bits for a pair."""
+    """Whole texts, a row (cid, pos of a) for each bit: (cid, a, bits, hot, keys, probes, parities) of those that keep enough bits for a pair.
+
+    bits are those of few owners, in order, hot the others, and keys those of hot in the index.
+    """
     order = np.lexsort((code, cid))
     cid, code, bit, df = cid[order], code[order], bit[order], df[order]
     starts = np.flatnonzero(np.r_[True, cid[1:] != cid[:-1]])
@@ -173,7 +176,6 @@ def _texts(cid: np.ndarray, code: np.ndarray, bit: np.ndarray, df: np.ndarray, p
     probed = allocate_all(pos, df, first, cover)
     here = np.repeat(_size_class(a, p, q), size)
     hot = df >= hot_from
-    keys = np.where(hot, _keyed(bit, here), bit)
     cold, warm = np.flatnonzero(probed & ~hot), np.flatnonzero(probed & hot)
     ahead = CLASSES + 2 if p < q else 1  # size classes in which a larger text can be, one more for rounding
     asked = np.r_[bit[cold], *[_keyed(bit[warm], here[warm] + k) for k in range(ahead)]]
@@ -186,12 +188,15 @@ def _texts(cid: np.ndarray, code: np.ndarray, bit: np.ndarray, df: np.ndarray, p
     def lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
-    probes = lists(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(size)))], asked[back])
-    arrays = [pa.array(cid), pa.array(a.astype(np.int32)), lists(first, pos.astype(np.int32)), lists(first, bit), lists(first, keys), probes, *map(pa.array, parities)]
-    return pa.RecordBatch.from_arrays(arrays, ["cid", "a", "pos", "bits", "keys", "probes", *[f"s{w}" for w in range(PARITIES)]])
+    def offsets(text: np.ndarray) -> np.ndarray:
+        return np.r_[0, np.cumsum(np.bincount(text, minlength=len(size)))]
+
+    of_hot = offsets(of[hot])
+    arrays = [lists(offsets(of[~hot]), bit[~hot]), lists(of_hot, bit[hot]), lists(of_hot, _keyed(bit[hot], here[hot])), lists(offsets(owner), asked[back])]
+    return pa.RecordBatch.from_arrays([pa.array(cid), pa.array(a.astype(np.int32)), *arrays, *map(pa.array, parities)], ["cid", "a", "bits", "hot", "keys", "probes", *[f"s{w}" for w in range(PARITIES)]])
 
 
-_TEXT = "cid long, a int, pos array<int>, bits array<bigint>, keys array<bigint>, probes array<bigint>, " + ", ".join(f"s{w} long" for w in range(PARITIES))
+_TEXT = "cid long, a int, bits array<bigint>, hot array<bigint>, keys array<bigint>, probes array<bigint>, " + ", ".join(f"s{w} long" for w in range(PARITIES))
 
 
 def _assembled(p: int, q: int):
@@ -233,23 +238,24 @@ def _live(flat: DataFrame, p: int, q: int) -> DataFrame:
     return kept.repartition("cid").sortWithinPartitions("cid").mapInArrow(_assembled(p, q), _TEXT)
 
 
-def _code(pos: str) -> Column:
-    return (F.shiftleft(F.col("a").cast("long"), 32) + F.col(pos)).alias("code")
+def _flat(texts: DataFrame, bits: Column) -> DataFrame:
+    rows = texts.select("cid", "a", F.posexplode(bits).alias("pos", "bit"))
+    return rows.select("cid", (F.shiftleft(F.col("a").cast("long"), 32) + F.col("pos")).alias("code"), "bit")
 
 
 def class_pairs(classes: DataFrame, threshold: Fraction) -> DataFrame:
     """(x, y, shared, union) of all pairs of different classes with a Jaccard similarity of at least the threshold, x < y."""
     p, q = threshold.numerator, threshold.denominator
     texts = classes.where(F.col("a") > 0)
-    flat, n = texts.select("cid", "a", F.posexplode("bits").alias("pos", "bit")).select("cid", _code("pos"), "bit"), texts.count()
+    flat, n = _flat(texts, F.col("bits")), texts.count()
     for _ in range(MAX_ROUNDS):
-        left = materialize(_live(flat, p, q), "live")
+        left = materialize(_live(flat, p, q), "live", hashes=True)
         before, n = n, left.count()
         if before - n <= WORTH * before:
             break
-        flat = left.select("cid", "a", F.explode(F.arrays_zip("pos", "bits")).alias("b")).select("cid", _code("b.pos"), F.col("b.bits").alias("bit"))
+        flat = _flat(left, F.concat("bits", "hot"))
     probes = left.select(F.col("cid").alias("x"), F.col("a").alias("xa"), F.explode("probes").alias("key"))
-    index = left.select(F.col("cid").alias("y"), F.col("a").alias("ya"), F.explode("keys").alias("key"))
+    index = left.select(F.col("cid").alias("y"), F.col("a").alias("ya"), F.explode(F.concat("bits", "keys")).alias("key"))
     fits = ((F.col("ya") > F.col("xa")) | ((F.col("ya") == F.col("xa")) & (F.col("y") > F.col("x")))) & (F.col("xa") * q >= F.col("ya") * p)
     candidates = probes.join(index, "key").where(fits).select("x", "y").distinct()
     signs = [f"s{w}" for w in range(PARITIES)]
@@ -258,7 +264,7 @@ def class_pairs(classes: DataFrame, threshold: Fraction) -> DataFrame:
     total = F.col("xa") + F.col("ya")
     apart = sum((F.bit_count(F.col(f"x{s}").bitwiseXOR(F.col(f"y{s}"))) for s in signs), F.lit(0))
     close = two.where(apart <= total - 2 * F.ceil(total * p / (p + q))).select("x", "y", "xa", "ya")
-    close = close.join(left.select(F.col("cid").alias("x"), F.col("bits").alias("xb")), "x").join(left.select(F.col("cid").alias("y"), F.col("bits").alias("yb")), "y")
+    close = close.join(left.select(F.col("cid").alias("x"), F.concat("bits", "hot").alias("xb")), "x").join(left.select(F.col("cid").alias("y"), F.concat("bits", "hot").alias("yb")), "y")
     counted = close.select("x", "y", F.size(F.array_intersect("xb", "yb")).alias("shared"), total.alias("total"))
     return counted.where(F.col("shared") * (p + q) >= F.col("total") * p).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "shared", (F.col("total") - F.col("shared")).alias("union"))
 
