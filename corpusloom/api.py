@@ -146,7 +146,9 @@ class Engine:
         self._table("relationships").append(knowledge.load_edges(edges))
 
     def corpus(self) -> association.Corpus:
-        return association.Corpus(self.documents(), self.postings() if self._table("postings").latest().files else None, self.relationships())
+        terms = frozenset(r[0] for r in self._read("kept_terms", "term string").collect())  # the terms that were asked for
+        kept = self._read("term_documents", "term string, pmid long") if terms else None
+        return association.Corpus(self.documents(), self.postings() if self._table("postings").latest().files else None, self.relationships(), kept, terms)
 
     def search(self, term: str, first: int = MIN_YEAR, last: int = MAX_YEAR) -> DataFrame:
         c, text = self.corpus(), sanitize(term)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats
-from corpusloom.operators.corpus import MAX_YEAR, MIN_YEAR, count_documents, with_metadata
+from corpusloom.operators.corpus import MAX_YEAR, MIN_YEAR, count_documents, in_years, with_metadata
 from corpusloom.operators.search import search
+from corpusloom.operators.terms import sanitize
 from corpusloom.session import materialize
 
 #: Fixed value: first terms added to the top ones when those without valid continuation are replaced.
@@ -74,11 +75,16 @@ class Params:
 
 @dataclass
 class Corpus:
-    """The tables a job works on. postings and relationships are optional."""
+    """The tables a job works on; all but docs are optional.
+
+    kept: (term, pmid), the stored documents of the sanitized terms kept_terms.
+    """
 
     docs: DataFrame
     postings: DataFrame | None = None
     relationships: DataFrame | None = None
+    kept: DataFrame | None = None
+    kept_terms: frozenset[str] = frozenset()
 
     @property
     def spark(self) -> SparkSession:
@@ -92,7 +98,15 @@ class Sets:
         self.corpus, self.p = corpus, p
         self.terms = list(dict.fromkeys(terms))
         self.number = {t: i for i, t in enumerate(self.terms)}
-        found = search(corpus.docs, self.terms, p.censor_year_lower, p.censor_year_upper, corpus.postings)
+        clean = {t: sanitize(t) for t in self.terms}
+        stored = {t for t in self.terms if clean[t] in corpus.kept_terms}
+        # an empty term finds nothing, so the others keep their numbers
+        found = search(corpus.docs, ["" if t in stored else t for t in self.terms], p.censor_year_lower, p.censor_year_upper, corpus.postings)
+        if stored:
+            numbers = corpus.spark.createDataFrame([(clean[t], self.number[t]) for t in self.terms if t in stored], "term string, term_no int")
+            lists = corpus.kept.where(F.col("term").isin(sorted({clean[t] for t in stored}))).join(numbers, "term")
+            live = in_years(corpus.docs, p.censor_year_lower, p.censor_year_upper).select("pmid")
+            found = found.unionByName(lists.join(live, "pmid", "left_semi").select("term_no", "pmid"))
         if p.return_pmids:
             found = found.join(with_metadata(corpus.docs).select("pmid", "year", "citations"), "pmid").select("term_no", "pmid", "year", "citations")
         self.members = materialize(found, "members")

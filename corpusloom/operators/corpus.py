@@ -100,8 +100,8 @@ def in_years(docs: DataFrame, first: int = MIN_YEAR, last: int = MAX_YEAR) -> Da
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """Parquet, partitioned by a million pmids, so that lookups by pmid read one folder."""
-    docs.withColumn("bucket", document_bucket("pmid")).repartition("bucket").sortWithinPartitions("pmid").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Parquet, partitioned by a million pmids, so that lookups by pmid read one folder; ranges of pmids share the work."""
+    docs.withColumn("bucket", document_bucket("pmid")).repartitionByRange("pmid").sortWithinPartitions("pmid").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def delete_documents(docs: DataFrame, pmids: list[int]) -> DataFrame:

@@ -108,6 +108,9 @@ def test_loading_files_and_kept_terms(spark, tmp_path):
     e.add_documents(spark.createDataFrame([doc(4, "common", 1)], ROW))
     e.index()
     assert found(e, "common|word9") == {1, 2, 3, 4}
+    counts = {r["b_term"]: (r["a_count"], r["b_count"], r["ab_count"]) for r in e.associate(a_terms=["word1"], b_terms=["Common | word9", "word2"]).collect()}
+    assert counts == {"Common | word9": (1, 4, 1), "word2": (1, 1, 0)}  # two stored lists and one that is searched
+    assert e.associate(a_terms=["word1"], b_terms=["common"], censor_year_lower=2001).first()["a_count"] == 0
 
 
 def test_only_changed_documents_are_written_again(spark):
